@@ -26,15 +26,12 @@ def prepare(spark: SparkSession) -> None:
     if getattr(sc, "_driftlens_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
-    with tempfile.TemporaryDirectory() as tmp:
-        target = Path(tmp) / f"driftlens-{uuid.uuid4().hex[:8]}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted((root / "driftlens").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(str(target))  # copied by Spark's file server; the temporary file may go
-        keep = Path(tempfile.mkdtemp()) / target.name
-        shutil.move(target, keep)
-    atexit.register(shutil.rmtree, keep.parent, ignore_errors=True)
+    target = Path(tempfile.mkdtemp()) / f"driftlens-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "driftlens").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(target))  # executors fetch it from Spark's file server
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     sc._driftlens_shipped = True
 
 
@@ -52,7 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/driftlens/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/driftlens/{what}-{uuid.uuid4().hex}"
+    atexit.register(remove, path)
+    return path
 
 
 def mounted(uri: str) -> str:
@@ -64,7 +63,10 @@ def mounted(uri: str) -> str:
 
 
 def remove(path: str) -> None:
-    shutil.rmtree(mounted(path), ignore_errors=True)
+    """Clears a mounted scratch folder; elsewhere the store's own expiry does."""
+    u = urlparse(path)
+    if u.scheme in ("", "file"):
+        shutil.rmtree(u.path, ignore_errors=True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

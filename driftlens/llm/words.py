@@ -9,11 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Entries of a worker's word cache; it is emptied when full, which costs time, never results.
 CACHE_WORDS = 400_000
 
+#: No word is white space, so these hashes stand for no word.
+END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\t"))
+
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -72,9 +76,27 @@ def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most about limit bytes in the column, one row at least."""
     for b in batches:
-        sizes = np.diff(np.frombuffer(b.column(column).cast(pa.large_binary()).buffers()[1], dtype=np.int64)[b.column(column).offset : b.column(column).offset + b.num_rows + 1]) if b.num_rows else np.zeros(0)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
-            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), limit, side="right")))
-            yield b.slice(at, n)
-            at += n
+            done = ends[at - 1] if at else 0
+            n = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield b.slice(at, n - at)
+            at = n
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text closed by END, and the number of tokens of each."""
+    flat: list[bytes] = []
+    counts = np.empty(len(texts), dtype=np.int64)
+    for i, t in enumerate(texts):
+        words = t.lower().split()
+        flat += words
+        counts[i] = len(words) + 1
+    ends = np.cumsum(counts) - 1
+    out = np.empty(int(counts.sum()), dtype=np.uint64)
+    inner = np.ones(len(out), dtype=bool)
+    inner[ends] = False
+    out[inner] = hashed(flat)
+    out[ends] = END
+    return out, counts
