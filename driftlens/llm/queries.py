@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5_bpe_encoding
 from .lm_scoring import op6_lm_scoring
+from .quality_rules import op9_quality_rules
+from .token_store import op7_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [op6_lm_scoring]
+    fs = [op5_bpe_encoding, op6_lm_scoring, op7_token_store, op9_quality_rules]
     return {f.__name__: f for f in fs}
 
 
