@@ -27,8 +27,8 @@ from .words import bounded
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of a leaf of a long text, of the first window on either side of a cut, and tokens that must agree.
 LEAF, WINDOW, AGREE = 16_384, 64, 4
-#: Entries of a worker's cache of words (emptied when full), words to a call of the library, and bytes of text at a time.
-CACHE_WORDS, CALL, SLICE = 500_000, 64, 8_000_000
+#: Entries of a worker's caches of words and of pieces (emptied when full), words to a call of the library, and bytes of text at a time.
+CACHE_WORDS, CACHE_PIECES, CALL, SLICE = 600_000, 600_000, 64, 8_000_000
 #: White space for str.split() that is none for the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: How the tokenizer's pattern splits lower-case printable ASCII.
@@ -58,17 +58,18 @@ class Encoder:
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ids: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.token = [""] * (max(vocabulary.values()) + 1)
         for t, i in vocabulary.items():
             self.token[i] = t
         self.closes = np.array([t.endswith("</w>") for t in self.token])
 
-    def _learn_joined(self, tokenizer, words: list[str], texts: list[str], pieces: list[int]) -> list[str]:
+    def _learn_joined(self, tokenizer, into: dict[str, bytes], words: list[str], pieces: list[int]) -> list[str]:
         """Encodes many words in one text; every piece of a word ends in one closing token. Returns words that didn't come apart so."""
         left = []
         calls = range(0, len(words), CALL)
-        for at, e in zip(calls, tokenizer.encode_batch_fast([" ".join(texts[a : a + CALL]) for a in calls], add_special_tokens=False), strict=True):
+        for at, e in zip(calls, tokenizer.encode_batch_fast([" ".join(words[a : a + CALL]) for a in calls], add_special_tokens=False), strict=True):
             own = words[at : at + CALL]
             ids = np.array(e.ids, dtype=np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
@@ -78,22 +79,30 @@ class Encoder:
                 continue
             data, begin = ids.tobytes(), 0
             for w, end in zip(own, (ends[last - 1] * 4).tolist(), strict=True):
-                self.ids[w] = data[begin:end]
+                into[w] = data[begin:end]
                 begin = end
         return left
 
     def learn(self, new: set[str]) -> None:
-        ascii_words, letters, rest = [], [], []
+        letters, rest, split = [], [], {}
         for w in new:
             if w.isascii() and w.isprintable() and "<" not in w:
-                ascii_words.append(w)
+                split[w] = ASCII_PIECES.findall(w.lower())
             elif w.isalpha() or LETTERS_THEN_POINT.fullmatch(w):
                 letters.append(w)
             else:
                 rest.append(w)
-        split = [ASCII_PIECES.findall(w.lower()) for w in ascii_words]
-        rest += self._learn_joined(self.bare, ascii_words, [" ".join(p) for p in split], [len(p) for p in split])
-        rest += self._learn_joined(self.tokenizer, letters, letters, [1 if w.isalpha() else 2 for w in letters])
+        wanted = {p for own in split.values() for p in own}
+        fresh = [p for p in wanted if p not in self.pieces]
+        if len(self.pieces) + len(fresh) > CACHE_PIECES:
+            self.pieces.clear()
+            fresh = list(wanted)
+        for p in self._learn_joined(self.bare, self.pieces, fresh, [1] * len(fresh)):
+            self.pieces[p] = np.array(self.bare.encode(p, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+        get = self.pieces.__getitem__
+        for w, own in split.items():
+            self.ids[w] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+        rest += self._learn_joined(self.tokenizer, self.ids, letters, [1 if w.isalpha() else 2 for w in letters])
         for at in range(0, len(rest), 512):
             part = rest[at : at + 512]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
