@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe_encoding
+from .decontamination import op3_decontamination
 from .html_text import op10_html_extraction
 from .lm_scoring import op6_lm_scoring
 from .near_duplicates import op1_ngram_jaccard_join
@@ -17,7 +18,7 @@ from .token_store import op7_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [op1_ngram_jaccard_join, op2_pii, op5_bpe_encoding, op6_lm_scoring, op7_token_store, op8_quality_classifier, op9_quality_rules, op10_html_extraction]
+    fs = [op1_ngram_jaccard_join, op2_pii, op3_decontamination, op5_bpe_encoding, op6_lm_scoring, op7_token_store, op8_quality_classifier, op9_quality_rules, op10_html_extraction]
     return {f.__name__: f for f in fs}
 
 
