@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,9 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.union1d(cuts, np.concatenate(more)) if more else cuts
 
 
-STAGED = "doc_id long, n_tokens long, digests binary, chunks array<struct<pack:int,digest:binary,ids:binary>>"
-STAGED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("chunks", pa.list_(pa.struct([("pack", pa.int32()), ("digest", pa.binary()), ("ids", pa.binary())])))])
+#: A chunk (pack, digest, ids) or a document's recipe (pack: any; doc_id, n_tokens, digests).
+STAGED = "pack int, doc_id long, n_tokens long, digests binary, ids binary"
+STAGED_SCHEMA = pa.schema([("pack", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("ids", pa.binary())])
 
 
 @dataclass
@@ -82,9 +84,9 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> Store:
             ends = np.cumsum(counts)
             cuts = cut_points(ids, ends)
             data, seen = ids.astype(f"<u{width}").tobytes(), set()
-            lists, chunks, begin, k = [], [], 0, 0
-            for end in ends.tolist():
-                own, new = [], []
+            rows, begin, k = [], 0, 0
+            for r, (doc_id, n, end) in enumerate(zip(b.column("doc_id").to_pylist(), counts.tolist(), ends.tolist(), strict=True)):
+                own = []
                 while begin < end:
                     stop = int(cuts[k])
                     piece = data[begin * width : stop * width]
@@ -92,22 +94,25 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> Store:
                     own.append(d)
                     if d not in seen:
                         seen.add(d)
-                        new.append({"pack": int.from_bytes(d[:4], "big") >> shift, "digest": d, "ids": piece})
+                        rows.append((int.from_bytes(d[:4], "big") >> shift, None, None, d, piece))
                     begin, k = stop, k + 1
-                lists.append(b"".join(own))
-                chunks.append(new)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), pa.array(lists, type=pa.binary()), pa.array(chunks, type=STAGED_SCHEMA.field("chunks").type)], schema=STAGED_SCHEMA)
+                rows.append((r % packs, doc_id, n, b"".join(own), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), STAGED_SCHEMA, strict=True)], schema=STAGED_SCHEMA)
 
     def pack(batches):
+        """Writes the packs; passes the recipes on, and the number of chunks as a row without tokens."""
         found: dict[int, dict[bytes, bytes]] = {}
         for b in batches:
-            for p, d, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found.setdefault(p, {})[d] = i
+            of_docs = b.filter(pc.is_valid(b.column("n_tokens")))
+            yield of_docs.select(["doc_id", "n_tokens", "digests"])
+            chunks = b.filter(pc.is_null(b.column("n_tokens")))
+            for p, d, i in zip(*(chunks.column(c).to_pylist() for c in ("pack", "digests", "ids")), strict=True):
+                found.setdefault(p, {}).setdefault(d, i)
         for p, chunks in found.items():
             order = sorted(chunks)
             ends = np.cumsum([len(chunks[d]) // width for d in order]).astype("<u8")
             atomic_write(f"{path}/pack-{p}", b"".join([MAGIC, np.array([len(order)], dtype="<u8").tobytes(), *order, ends.tobytes(), *(chunks[d] for d in order)]))
-            yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([len(order)], type=pa.int64())], names=["pack", "n_chunks"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(order)], type=pa.int64()), pa.array([None], type=pa.int64()), pa.array([None], type=pa.binary())], names=["doc_id", "n_tokens", "digests"])
 
     def recipe(batches):
         """In a file's order: each document's place in it and root, and the digest of all roots so far."""
@@ -125,10 +130,10 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> Store:
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), type=pa.int32()), b.column("doc_id"), pa.array(starts), pa.array(n), pa.array(lists, type=pa.binary()), pa.array(own, type=pa.binary()), pa.array(chain, type=pa.binary())], names=["part", "doc_id", "start", "n_tokens", "digests", "root", "chain"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    staged = stored(rows.mapInArrow(stage, STAGED), "token-stage")
-    chunks = staged.select(F.explode("chunks").alias("c")).select("c.pack", "c.digest", "c.ids")
-    n_chunks = chunks.repartitionById(packs, F.col("pack")).mapInArrow(pack, "pack int, n_chunks long").agg(F.sum("n_chunks")).first()[0]
-    ordered = staged.select("doc_id", "n_tokens", "digests").repartitionByRange(partitions(spark), "doc_id", "digests").sortWithinPartitions("doc_id", "digests")
+    staged = rows.mapInArrow(stage, STAGED).repartitionById(packs, F.col("pack"))
+    told = stored(staged.mapInArrow(pack, "doc_id long, n_tokens long, digests binary"), "token-recipes")
+    n_chunks = told.where("n_tokens is null").agg(F.sum("doc_id")).first()[0]
+    ordered = told.where("n_tokens is not null").repartitionByRange(partitions(spark), "doc_id", "digests").sortWithinPartitions("doc_id", "digests")
     ordered.mapInArrow(recipe, "part int, doc_id long, start long, n_tokens long, digests binary, root binary, chain binary").write.parquet(f"file://{path}/recipes")
     files = recipes(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"), F.max_by("chain", F.struct("start", "n_tokens")).alias("root")).orderBy("part").collect()  # a row for each file
     total, listed = 0, []
