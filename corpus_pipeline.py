@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm import bpe, decontamination, near_duplicates, pii, quality_classifier
-from driftlens.llm.cluster import stored, table
+from driftlens.llm.cluster import small, stored, table
 
 #: No SQL expresses the fitted stages; tests hold them against brute force instead.
 ORACLE_SQL = None
@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id is among ids, nulls alike."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = small(stored(ids.select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
 
 
