@@ -76,6 +76,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each up to which a table is sent to every task; some 40 MB with all overheads.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a stored table of a few numbers a row, marked for broadcast if it has SMALL_ROWS rows at most; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.encode(F.coalesce(F.col(name), F.lit("")), "UTF-8")
