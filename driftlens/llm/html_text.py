@@ -52,6 +52,8 @@ def _names(attributes: str) -> tuple[str, bool]:
     return " ".join(names), hidden
 
 
+#: Bytes of hosts and paths up to which they are sent to every task.
+SMALL = 8 << 20
 BLOCKS_TYPE = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
 
 
@@ -60,7 +62,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple, bool, str, int]] = []
-        self.stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, step of the path, dropped, number of the container
+        self.stack: list[tuple[str, str, bool, int]] = [("", "page", False, 0)]  # tag, step of the path, dropped, number of the container
         self.parts: list[str] = []
         self.linked, self.in_link, self.count = 0, 0, 0
         at = 0
@@ -95,7 +97,7 @@ class Page:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((tuple((s[1], s[3]) for s in self.stack[1:] if s[1]), self.stack[-1][2], text, self.linked))
+                self.blocks.append((tuple((s[1], s[3]) for s in self.stack if s[1]), self.stack[-1][2], text, self.linked))
             self.parts, self.linked = [], 0
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -194,7 +196,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     parsed = stored(pages.mapInArrow(parse, f"{key}, host string, own string, score long, blocks array<struct<path:string,text:string>>"), "pages")
     votes = parsed.where("score > 0").groupBy("host", F.col("own").alias("path")).agg(F.count("*").alias("votes"), F.sum("score").alias("total"))
-    winners = votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "total", "path")).alias("winner"))
+    winners = stored(votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "total", "path")).alias("winner")), "host-paths")
+    size = winners.agg(F.sum(F.length("host") + F.length("winner"))).first()[0] or 0
+    if size <= SMALL:  # else a shuffled join, which Spark splits where a host is hot
+        winners = F.broadcast(winners)
 
     def under(path: Column) -> Column:
         return F.filter("blocks", lambda b: (b.path == path) | b.path.startswith(F.concat(path, F.lit("\t"))))
