@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +85,16 @@ def confidence(conditions: DataFrame) -> DataFrame:
     return n.select("unit", "total", "n_opaque", level.alias("level"))
 
 
+def _checkpoints(df: DataFrame) -> None:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftlens-"))
+
+
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes that edges (src, dst) reach from seeds (node), with the least number of steps. Each round joins the frontier alone; checkpoints cut the lineage."""
+    _checkpoints(edges)
     edges = edges.select("src", "dst").where("src != dst").distinct()
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier, depth = seen, 0
