@@ -5,7 +5,8 @@ file-system interface, so a store may lie in any of Spark's file systems.
 
 Each arrival is written as small shards that never change. A shard's tier is the power of FANOUT that its size is above
 SMALLEST. A tier with FANOUT shards or more is merged, in order of arrival, WIDEST shards or TARGET bytes at a time, until no
-tier is that full; shards of half of TARGET or more are done. A job merges all runs of a round: rows are dealt out by the file they come from.
+tier is that full; shards of half of TARGET or more are done. A task reads a run's shards and writes one file, so nothing is shuffled; a job has
+RUNS tasks or as many as the cluster runs at once.
 A manifest lists the shards of a version. Its number is claimed by creating a file that may not exist before, and it is
 renamed into place when complete; readers see whole versions only. vacuum() drops shards that no kept version lists.
 """
@@ -16,13 +17,15 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import prepare, scratch, table
 
-SMALLEST, FANOUT, WIDEST, TARGET = 256 << 10, 4, 64, 32 << 20
+SMALLEST, FANOUT, WIDEST, TARGET, RUNS = 256 << 10, 4, 64, 32 << 20, 64
+UNION = "spark.sql.unionOutputPartitioning"
 #: Arrivals that the query makes of a table, by hash of the id.
 ARRIVALS = 8
 
@@ -132,16 +135,18 @@ class ShardStore:
         """Merges until no tier is full; returns the number of rounds. Every round is a job and a version."""
         rounds = 0
         while runs := plan(before := self.shards()):
-            parent, folder = self._last(), f"shards/{uuid.uuid4().hex}"
-            target = {s.file: k for k, run in enumerate(runs) for s in run}
-            names = self.spark.createDataFrame([(f, k) for f, k in target.items()], "file_ string, target_ int")
-            place = F.regexp_extract(F.col("_metadata.file_path"), r"/(shards/.*)$", 1)
-            rows = self.read(list(target))
-            columns = rows.columns
-            marked = rows.select("*", place.alias("file__")).join(names, F.col("file__") == F.col("file_"))
-            marked.repartitionById(len(runs), F.col("target_")).select(*(F.col(f"`{c}`") for c in columns)).write.parquet(f"{self.path}/{folder}")
-            merged = [Shard(f, n, max(s.arrival for s in runs[int(f.rsplit("part-", 1)[1][:5])])) for f, n in self._files(folder)]
-            self.commit([s for s in before if s.file not in target] + merged, parent)
+            parent, merged = self._last(), []
+            width = max(RUNS, self.spark.sparkContext.defaultParallelism)
+            for at in range(0, len(runs), width):
+                now, folder = runs[at : at + width], f"shards/{uuid.uuid4().hex}"
+                parts = [self.read([s.file for s in run]).coalesce(1) for run in now]
+                before_conf = self.spark.conf.get(UNION, None)
+                self.spark.conf.set(UNION, "false")  # else the union of one-task reads is one task
+                reduce(DataFrame.union, parts).write.parquet(f"{self.path}/{folder}")
+                self.spark.conf.unset(UNION) if before_conf is None else self.spark.conf.set(UNION, before_conf)
+                merged += [Shard(f, n, max(s.arrival for s in now[int(f.rsplit("part-", 1)[1][:5])])) for f, n in self._files(folder)]
+            gone = {s.file for run in runs for s in run}
+            self.commit([s for s in before if s.file not in gone] + merged, parent)
             self.vacuum(keep=1)
             rounds += 1
         return rounds
