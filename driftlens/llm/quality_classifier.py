@@ -23,7 +23,7 @@ from .quality_rules import tokens_as_written
 from .words import bounded, sums
 
 #: Labelled documents to fit on, words in the model, least documents of the sample with such a word, and L2 penalty.
-SAMPLE, WORDS, LEAST, PENALTY = 12_000, 4096, 3, 1.0
+SAMPLE, WORDS, LEAST, PENALTY = 12_000, 4096, 3, 0.2
 #: Bounds of the strength of shrinkage, in pseudo-documents, and of probabilities.
 WEAKEST, STRONGEST, EDGE = 2.0, 10_000.0, 1e-6
 SHAPE = ["upper", "symbols", "pipes", "bangs", "digits", "repeats", "variety", "word_length", "log_words", "dup_lines"]
