@@ -1,6 +1,7 @@
 """Quality rules (operator 9): repetition and length rules, then language-specific perplexity bands under a Kneser-Ney model.
 
-The model counts all documents. A band of a language spans its passing documents' median log10 perplexity of a token, less
+The model's n-grams are of bytes: those of words are nearly as many as words, and their counts overran the disk. It counts
+all documents. A band of a language spans its passing documents' median log10 perplexity of a byte, less
 BAND times the distance to the TENTH quantile below and plus BAND times the distance to the one above; a language with fewer
 than MIN_DOCS passing documents takes the band of all of them.
 """
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import prepare, stored, table, text_bytes
-from .kneser_ney import fit, reader
-from .words import END, bounded, mix, sums, tokens
+from .char_model import fit, reader
+from .words import bounded, hashed, mix, sums
 
 #: Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -57,7 +58,7 @@ def duplicate_lines(text: bytes) -> int:
 
 
 def features(docs: DataFrame, model_json: str | None = None) -> DataFrame:
-    """doc_id, lang and a binary column t to the rule columns, and log10 perplexity of a token when a model is given."""
+    """doc_id, lang and a binary column t to the rule columns, and log10 perplexity of a byte when a model is given."""
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = "doc_id long, lang string, " + ", ".join(f"{f} long" for f in fields) + ", log_ppl double"
 
@@ -68,13 +69,13 @@ def features(docs: DataFrame, model_json: str | None = None) -> DataFrame:
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             ends = np.cumsum(sizes)
             begins = ends - sizes
-            low, counts = tokens(texts)  # lower case serves the model
-            inner = low != END
-            exact, _ = tokens_as_written(texts)
-            lengths = counts - 1
+            exact, lengths = tokens_as_written(texts)
             starts = np.cumsum(lengths) - lengths
-            ppl = -reader(model_json).score(low, counts)["score"] / counts if model_json else np.zeros(len(texts))
-            assert inner.sum() == len(exact)
+            if model_json:
+                score, counts = reader(model_json).score(texts)
+                ppl = -score / counts
+            else:
+                ppl = np.zeros(len(texts))
             cols = [
                 b.column("doc_id"), b.column("lang"), pa.array(lengths),
                 pa.array(sums(_IS_FIRST[raw] - _IS_SPACE[raw], begins, ends)), pa.array(sums(_IS_SYMBOL[raw], begins, ends)),
@@ -87,8 +88,6 @@ def features(docs: DataFrame, model_json: str | None = None) -> DataFrame:
 
 def tokens_as_written(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, case kept, and the number of each text's."""
-    from .words import hashed
-
     flat: list[bytes] = []
     counts = np.empty(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
