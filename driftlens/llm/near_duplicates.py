@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import partitions, prepare, stored, table, text_bytes
+from .cluster import partitions, prepare, small, stored, table, text_bytes
 from .words import bounded, hashed, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("node", "grp", "copies")), pa.array(sets, type=pa.binary())], names=["node", "grp", "copies", "shingles"])
 
     wanted = chosen.select(F.col("first").alias("doc_id"), "node", F.col("label").alias("grp"), "copies")
-    sets = rows.join(wanted, "doc_id").select("t", "node", "grp", "copies").mapInArrow(cut, "node long, grp long, copies long, shingles binary")
+    sets = rows.join(small(wanted), "doc_id").select("t", "node", "grp", "copies").mapInArrow(cut, "node long, grp long, copies long, shingles binary")
     sig = signed.where("node is not null").select("node", "sig").join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = sets.dropDuplicates(["node"]).join(sig, "node")
     sizes = labels.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("n"))
