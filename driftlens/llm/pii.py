@@ -119,9 +119,8 @@ def disclosing(found: DataFrame, corpus: DataFrame) -> DataFrame:
     terms = rows.select("rid", "text_key", "k", "v", F.explode("near").alias("t")).withColumn("t", F.lower("t")).where(F.length("t") >= SHORTEST)
     pairs = terms.groupBy("k", "v", "t", "rid", "text_key").agg(F.lit(1).alias("_")).groupBy("k", "v", "t", "text_key").agg(F.count("*").alias("n")).groupBy("k", "v", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
     pairs = stored(pairs, "pii-pairs")
-    wanted = pairs.select("t").distinct()
     words = corpus.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("t"))
-    n_t = words.join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n_t"))
+    n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))  # counted before the join, where common words have shrunk to a row
     n_e = rows.groupBy("k", "v", "rid").agg(F.lit(1).alias("_")).groupBy("k", "v").agg(F.count("*").alias("n_e"))
     total = F.lit(float(found.count()))
     p_et, p_e = F.col("n_et") / F.col("n_t"), F.col("n_e") / total
