@@ -1,9 +1,9 @@
 """From raw documents to token ids in five stages, each one of the operators of driftlens.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder and
-reads it again as the next stage's docs. All but the last return the columns of documents. A row whose doc_id is null is
-judged like any other where the stage's operator can tell it apart and stays where it can't; rows that share a doc_id share
-the stricter verdict.
+reads it again as the next stage's docs. All but the last return the columns of documents. Rows are told apart by a 64-bit
+digest of what their verdict depends on, not by doc_id: a row whose doc_id is null or repeated is judged like any other. Two
+different rows share a digest once in 1.8e19 pairs.
 """
 
 from __future__ import annotations
@@ -18,31 +18,42 @@ from driftlens.llm.cluster import small, stored, table
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is among ids, nulls alike."""
-    gone = small(stored(ids.select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
+#: Column of a row's digest.
+ROW = "_row"
+
+
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with the digest of some columns, nulls told from empty strings."""
+    return docs.withColumn(ROW, F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))))))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs, keyed, less those whose digest is in the one column of rows."""
+    gone = small(stored(rows.toDF("gone").distinct(), "gone"))
+    return docs.join(gone, docs[ROW] == gone.gone, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
-    verdicts = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return without(docs, verdicts.where("not kept"))
+    """Documents that the classifier keeps; its verdict depends on text, source and lang."""
+    rows = keyed(docs, "text", "source", "lang")
+    verdicts = quality_classifier.classify(rows, table(spark, sf_dir, "labels"), also=[ROW])
+    return without(rows, verdicts.where("not kept").select(ROW)).drop(ROW)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that with the least doc_id; rows without doc_id stay."""
     classes = stored(near_duplicates.near_duplicates(docs), "classes")
-    left = without(docs, classes.where("class_id != doc_id"))
+    left = without(docs.withColumn(ROW, F.col("doc_id")), classes.where("class_id != doc_id").select("doc_id")).drop(ROW)
     if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated"))
+    """Documents that hold no benchmark item; the verdict depends on the text."""
+    rows = keyed(docs, "text")
+    found = decontamination.decontaminate(rows.withColumn("doc_id", F.col(ROW)), table(spark, sf_dir, "benchmark"))
+    return without(rows, found.where("contaminated").select("doc_id")).drop(ROW)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

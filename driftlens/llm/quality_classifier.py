@@ -187,17 +187,18 @@ def strength(sites: DataFrame, mean: float) -> float:
     return float(min(max(spread / between - 1, WEAKEST), STRONGEST)) if between > 0 else STRONGEST
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, also: list[str] | None = None) -> DataFrame:
     """doc_id, text, lang and source, with labels (doc_id, quality, toxic), to the posteriors; a row for each row of docs.
 
     A null text counts as empty; null lang or source are a site of their own; a null doc_id has no label; labels with nulls
-    don't count, and of repeated ones the larger does. Without labels every document has the prior 1/2 and is kept. Other
-    columns of docs are not read.
+    don't count, and of repeated ones the larger does. Without labels every document has the prior 1/2 and is kept. Of other
+    columns of docs those of also (longs) come back with the rows; the rest are not read.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), text_bytes().alias("t"))
+    also = also or []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("lang", F.lit("")).alias("path"), text_bytes().alias("t"), *also)
     words, heads = fit(docs, labels)
-    scored = stored(score(docs, words, heads, ["doc_id", "host", "path"]), "quality")
+    scored = stored(score(docs, words, heads, ["doc_id", "host", "path", *also]), "quality")
     known = labels.where("quality in (0, 1) and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
     out = scored
     marked = scored.join(known, "doc_id", "left")
@@ -212,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         hosts = hosts.select("host", ((F.col("good") + k_host * mean) / (F.col("n") + k_host)).alias("host_rate"))
         rates = paths.join(hosts, "host").select("host", "path", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias(f"{head}_site"))
         out = out.join(rates, ["host", "path"], "left").withColumn(f"p_{head}", 1 / (1 + F.exp(-(F.col(head) - logit(F.lit(rate)) + logit(F.col(f"{head}_site"))))))
-    return out.select("doc_id", "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5)).alias("kept"), "quality_site", "toxic_site")
+    return out.select("doc_id", "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5)).alias("kept"), "quality_site", "toxic_site", *also)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
