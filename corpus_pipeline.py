@@ -41,12 +41,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the least doc_id; rows without doc_id stay."""
-    classes = stored(near_duplicates.near_duplicates(docs), "classes")
-    left = without(docs.withColumn(ROW, F.col("doc_id")), classes.where("class_id != doc_id").select("doc_id")).drop(ROW)
-    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    """One document of each class of near-duplicates, that with the least doc_id, null being the last.
+
+    Texts without words are no copies of each other; of rows with the same doc_id and such a text one stays.
+    """
+    rows = keyed(docs, "doc_id", "text")
+    classes = stored(near_duplicates.near_duplicates(rows.withColumn("doc_id", F.col(ROW))).withColumnRenamed("doc_id", ROW), "classes")
+    linked = classes.where("n_links > 0").select(ROW, "class_id").distinct()
+    named = linked.join(rows.select(ROW, "doc_id").distinct(), ROW)
+    least = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least"))
+    left = without(rows, linked.join(least.select(F.col(f"least.{ROW}").alias(ROW)), ROW, "left_anti").select(ROW))
+    repeated = stored(classes.groupBy(ROW).count().where("count > 1").select(ROW), "repeated")
+    if repeated.isEmpty():
+        return left.drop(ROW)
+    again = left.join(small(repeated), ROW, "left_semi").select(left.columns)
+    copies = F.col("doc_id").isNotNull() | F.coalesce("text", F.lit("")).rlike(r"\S")
+    return without(left, repeated).unionByName(again.where(copies).dropDuplicates([ROW])).unionByName(again.where(~copies)).drop(ROW)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,16 @@ def test_decontamination_judges_each_row(spark, tmp_path):
     clean = [(None, prose(90, 2)), (None, prose(90, 3)), (None, None), (5, prose(90, 4))]
     leaked = [(None, prose(50, 5) + " " + item), (5, item + " " + prose(50, 6))]
     assert left(pipeline.decontaminate(spark, documents(spark, clean + leaked), str(tmp_path))) == sorted(clean, key=str)
+
+
+def test_one_of_each_group_stays(spark, tmp_path):
+    a, b, c, d = (prose(80, 100 + k) for k in range(4))
+    near = c + " " + VOCABULARY[0]
+    rows = [(5, a), (5, b), (7, a), (3, b)]  # ids repeated with different texts
+    rows += [(None, c), (None, c), (None, near), (None, d), (20, d), (None, prose(80, 200))]  # without id
+    rows += [(30, prose(80, 300))] * 3 + [(31, ""), (31, ""), (32, ""), (None, None), (None, None)]
+    got = left(pipeline.deduplicate(spark, documents(spark, rows), str(tmp_path)))
+    of_c = [r for r in got if r[1] in (c, near)]
+    assert len(of_c) == 1
+    whole = [(5, a), (3, b), (20, d), (None, prose(80, 200)), (30, prose(80, 300)), (31, ""), (32, ""), (None, None), (None, None)]
+    assert [r for r in got if r not in of_c] == sorted(whole, key=str)
