@@ -4,19 +4,21 @@ Native: DataFrame and SQL functions only.
 
 A match's place is the length of all that split() leaves before it. Protected entities are the values that the patterns
 find. A term t discloses an entity e if their pointwise mutual information is at least DISCLOSURE times the information
-content of e, that is if P(e|t) >= P(e) ** (1 - DISCLOSURE), where t was seen within NEAR words of e in SUPPORT different
-texts at least. All counts are over the documents of the whole corpus. In every document that holds e, t is generalised to
+content of e, that is if P(e|t) >= P(e) ** (1 - DISCLOSURE), where t, outside of entities, and e stand in SUPPORT different
+texts at least, however far from each other. All counts are over the documents of the whole corpus. In every document that holds e, t is generalised to
 [TERM], wherever it stands, and the entities to the names of their kinds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import prepare, stored, table
 
-NEAR, SUPPORT, DISCLOSURE, SHORTEST = 5, 3, 0.9, 3
+SUPPORT, DISCLOSURE = 3, 0.9
 #: Kinds in the order of results, with patterns that match what the plain ones match but never step back over a long run.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -31,7 +33,7 @@ WORD = r"[\p{L}\p{N}]+"
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]?)"
 #: Prefix sums go by blocks of so many, so that a text of n matches costs n ** 1.5 at most.
 BLOCK = 256
-SPAN = "array<struct<s:int,e:int,v:string,l:array<string>,r:array<string>>>"
+SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
 def _digits(m: Column) -> Column:
@@ -83,7 +85,7 @@ def ends(lengths: Column) -> Column:
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds, for each kind, an array of its valid spans: start, end (exclusive, code points), value and the terms about it."""
+    """Adds, for each kind, an array of its valid spans: start, end (exclusive, code points) and value."""
     for kind in KINDS:
         sign = SIGNS[kind]
         none = F.array().cast("array<string>")
@@ -94,14 +96,10 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
         docs = docs.withColumn("_n", F.when(F.col("_some"), F.zip_with(F.slice("_p", 1, F.size("_m")), "_m", lambda p, m: F.length(p) + F.length(m))).otherwise(F.array().cast("array<int>")))
         docs = docs.withColumn("_e", F.when(F.col("_some"), ends(F.col("_n"))).otherwise(F.array().cast("array<int>")))
 
-        def near(piece: Column, last: bool) -> Column:
-            words = F.filter(F.split(piece, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-            return F.slice(words, F.greatest(F.size(words) - NEAR + 1, F.lit(1)), F.lit(NEAR)) if last else F.slice(words, 1, NEAR)
-
         def span(m: Column, i: Column) -> Column:
             e = F.element_at("_e", i + 1)
             ok = valid(kind, m)  # noqa: B023
-            return F.when(ok, F.struct((e - F.length(m)).alias("s"), e.alias("e"), value(kind, m).alias("v"), near(F.element_at("_p", i + 1), True).alias("l"), near(F.element_at("_p", i + 2), False).alias("r")))  # noqa: B023
+            return F.when(ok, F.struct((e - F.length(m)).alias("s"), e.alias("e"), value(kind, m).alias("v")))  # noqa: B023
 
         spans = F.filter(F.transform("_m", span), lambda s: s.isNotNull())
         docs = docs.withColumn(f"_{kind}", F.when(F.col("_some"), spans).otherwise(F.array().cast(SPAN)))
@@ -110,18 +108,21 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _entities() -> Column:
     """All spans of a row, with the place of their kind in KINDS."""
-    return F.concat(*(F.transform(f"_{k}", lambda s: F.struct(F.lit(i).alias("k"), s.v.alias("v"), F.concat(s.l, s.r).alias("near"))) for i, k in enumerate(KINDS)))  # noqa: B023
+    return F.concat(*(F.transform(f"_{k}", lambda s: F.struct(F.lit(i).alias("k"), s.v.alias("v"))) for i, k in enumerate(KINDS)))  # noqa: B023
 
 
 def disclosing(found: DataFrame, corpus: DataFrame) -> DataFrame:
     """Entities (k, v) and the terms that disclose them, from rows with their entities and the texts of the whole corpus."""
-    rows = found.where(F.size("ents") > 0).select("rid", "text_key", F.explode("ents").alias("x")).select("rid", "text_key", "x.k", "x.v", "x.near")
-    terms = rows.select("rid", "text_key", "k", "v", F.explode("near").alias("t")).withColumn("t", F.lower("t")).where(F.length("t") >= SHORTEST)
-    pairs = terms.groupBy("k", "v", "t", "rid", "text_key").agg(F.lit(1).alias("_")).groupBy("k", "v", "t", "text_key").agg(F.count("*").alias("n")).groupBy("k", "v", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    held = found.where(F.size("ents") > 0)
+    once = held.groupBy("text_key").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).select("rid", "n")  # a row of each text
+    rows = stored(held.select("rid", F.explode(F.array_distinct("ents")).alias("x")).join(once, "rid").select("rid", "n", "x.k", "x.v"), "pii-entities")
+    n_e = rows.groupBy("k", "v").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
+    ents = rows.join(n_e, ["k", "v"]).groupBy("rid", "n").agg(F.collect_list(F.struct("k", "v")).alias("often"))
+    texts = masked(held.join(ents, "rid"), lambda _: " ").select("n", "often", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("t")).where("t != ''")
+    pairs = texts.select("n", F.explode("often").alias("x"), "t").groupBy("x.k", "x.v", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
     pairs = stored(pairs, "pii-pairs")
     words = corpus.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("t"))
     n_t = words.groupBy("t").agg(F.count("*").alias("n_t"))  # counted before the join, where common words have shrunk to a row
-    n_e = rows.groupBy("k", "v", "rid").agg(F.lit(1).alias("_")).groupBy("k", "v").agg(F.count("*").alias("n_e"))
     total = F.lit(float(found.count()))
     p_et, p_e = F.col("n_et") / F.col("n_t"), F.col("n_e") / total
     return pairs.join(n_t, "t").join(n_e, ["k", "v"]).where(p_et >= F.pow(p_e, F.lit(1 - DISCLOSURE))).select("k", "v", "t")
@@ -163,19 +164,25 @@ def report(docs: DataFrame) -> DataFrame:
     return find(docs).select("doc_id", *counts, F.sha2(_joined(KINDS), 256).alias("base_sha256"), _joined((*KINDS, "term")).alias("spans"))
 
 
+def masked(found: DataFrame, name: Callable[[str], str]) -> DataFrame:
+    """found with the valid spans in text replaced by the names of their kinds."""
+    for kind in ("email", "phone", "card", "ip"):
+        hit = F.size(f"_{kind}") > 0
+        found = found.withColumn("_m", F.when(hit, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0)))).withColumn("_p", F.when(hit, F.split("text", PATTERNS[kind], -1)))
+        parts = F.transform("_m", lambda m: F.when(valid(kind, m), F.lit(name(kind))).otherwise(m))  # noqa: B023
+        found = found.withColumn("text", F.when(hit, _woven(F.col("_p"), parts)).otherwise(F.col("text")))
+    return found
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data in text replaced by [EMAIL], [PHONE], [CARD] and [IP], and disclosing terms by [TERM]; n_chars, if there, follows."""
     found = find(docs, keep_text=True)
     text = "text"
-    for kind in ("email", "phone", "card", "ip"):
-        hit = F.size(f"_{kind}") > 0
-        found = found.withColumn("_m", F.when(hit, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)))).withColumn("_p", F.when(hit, F.split(text, PATTERNS[kind], -1)))
-        masked = F.transform("_m", lambda m: F.when(valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m))  # noqa: B023
-        found = found.withColumn(text, F.when(hit, _woven(F.col("_p"), masked)).otherwise(F.col(text)))
+    found = masked(found, lambda kind: f"[{kind.upper()}]")
     hit = F.size("_term") > 0
     found = found.withColumn("_m", F.when(hit, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).withColumn("_p", F.when(hit, F.split(text, WORD, -1)))
-    masked = F.transform("_m", lambda m: F.when(F.array_contains("terms", F.lower(m)), F.lit("[TERM]")).otherwise(m))
-    found = found.withColumn(text, F.when(hit, _woven(F.col("_p"), masked)).otherwise(F.col(text)))
+    terms = F.transform("_m", lambda m: F.when(F.array_contains("terms", F.lower(m)), F.lit("[TERM]")).otherwise(m))
+    found = found.withColumn(text, F.when(hit, _woven(F.col("_p"), terms)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length(text).cast("long"))
     return found.select(*docs.columns)
