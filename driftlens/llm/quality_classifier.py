@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import prepare, stored, table, text_bytes
-from .quality_rules import tokens_as_written
-from .words import bounded, sums
+from .words import bounded, hashed, sums
 
 #: Labelled documents to fit on, words in the model, least documents of the sample with such a word, and L2 penalty.
 SAMPLE, WORDS, LEAST, PENALTY = 12_000, 4096, 3, 0.2
@@ -110,13 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, Head]
     def features(batches):
         for b in bounded(batches, "t"):
             texts = b.column("t").to_pylist()
-            tok, counts = tokens_as_written([t.lower() for t in texts])
+            tok, counts = hashed(texts, lower=True)
             words, n = distinct_words(tok, counts)
             dense = shape(texts, tok, counts, n)
             cuts = np.cumsum(n)
             yield pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in dense], type=pa.binary()), pa.array([words[e - k : e].tobytes() for e, k in zip(cuts, n, strict=True)], type=pa.binary()), b.column("quality"), b.column("toxic")], names=["dense", "words", "quality", "toxic"])
 
-    rows = docs.select("doc_id", "t").join(F.broadcast(sample), "doc_id").select("t", "quality", "toxic").mapInArrow(features, "dense binary, words binary, quality int, toxic int").collect()  # SAMPLE rows at most, but for repeated doc_ids
+    once = docs.select("doc_id", "t").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("t").alias("t"))  # of repeated ids one text
+    rows = once.select("t", "quality", "toxic").mapInArrow(features, "dense binary, words binary, quality int, toxic int").collect()  # SAMPLE rows at most
     if not rows:
         return np.zeros(0, dtype=np.uint64), {}
     x = np.concatenate([np.ones((len(rows), 1)), np.stack([np.frombuffer(r.dense) for r in rows])], axis=1)
@@ -148,7 +148,7 @@ def score(docs: DataFrame, words: np.ndarray, heads: dict[str, Head], keep: list
     def run(batches):
         for b in bounded(batches, "t"):
             texts = b.column("t").to_pylist()
-            tok, counts = tokens_as_written([t.lower() for t in texts])
+            tok, counts = hashed(texts, lower=True)
             ends = np.cumsum(counts)
             doc = np.repeat(np.arange(len(texts)), counts)
             order = np.argsort(tok)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import prepare, stored, table, text_bytes
+from .cluster import prepare, small, stored, table, text_bytes
 from .char_model import fit, reader
 from .words import bounded, hashed, mix, sums
 
@@ -69,7 +69,7 @@ def features(docs: DataFrame, model_json: str | None = None) -> DataFrame:
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             ends = np.cumsum(sizes)
             begins = ends - sizes
-            exact, lengths = tokens_as_written(texts)
+            exact, lengths = hashed(texts)
             starts = np.cumsum(lengths) - lengths
             if model_json:
                 score, counts = reader(model_json).score(texts)
@@ -86,17 +86,6 @@ def features(docs: DataFrame, model_json: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "t").mapInArrow(run, schema)
 
 
-def tokens_as_written(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, case kept, and the number of each text's."""
-    flat: list[bytes] = []
-    counts = np.empty(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        words = t.split()
-        flat += words
-        counts[i] = len(words)
-    return hashed(flat), counts
-
-
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text, lang to the rule columns, base_failed, log_ppl and kept; other columns of docs are not read.
 
@@ -112,7 +101,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     quantiles = F.percentile_approx("log_ppl", [TENTH, 0.5, 1 - TENTH], 1000).alias("q")
     overall = passing.agg(quantiles).first().q  # three numbers
     bands = passing.groupBy("lang_key").agg(quantiles, F.count("*").alias("n"))
-    joined = scored.join(bands, "lang_key", "left")
+    joined = scored.join(small(stored(bands, "quality-bands")), "lang_key", "left")  # a row for each language
     default = F.array(*(F.lit(float(x)) for x in overall)) if overall else F.lit(None).cast("array<double>")
     q = F.when(F.col("n") >= MIN_DOCS, F.col("q")).otherwise(default)
     low, mid, high = (F.element_at(q, i) for i in (1, 2, 3))

@@ -1,6 +1,8 @@
 """Words and their hashes, in bulk.
 
-A word is a longest run of bytes other than space and \\x09-\\x0D in the UTF-8 text; bytes.split() cuts just there.
+A word is a longest run of bytes other than space and \\x09-\\x0D in the UTF-8 text; bytes.split() cuts just there. Words are
+found and hashed as arrays, without an object for each: a word's hash is a polynomial of its bytes modulo 2 ** 64 (each byte
+value stands for a random number), read off prefix sums and mixed; two different words share one about once in 1.8e19 pairs.
 """
 
 from __future__ import annotations
@@ -12,30 +14,68 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Entries of a worker's word cache; it is emptied when full, which costs time, never results.
-CACHE_WORDS = 400_000
-
 #: No word is white space, so these hashes stand for no word.
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\t"))
 
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Bytes whose words are hashed at once; a longer word is hashed by itself.
+RUN = 1 << 19
+IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+#: Bytes with A-Z in lower case.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(RUN + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_random = np.random.default_rng(20240607)
+_BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+_BASE = int(_random.integers(1, 1 << 63)) * 2 + 1
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of an array of bytes."""
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = ~IS_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside))
+    return edges[::2], edges[1::2]
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each raw[start:end]; both ascend."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + RUN, side="right"))
+        if j <= i:  # one word of more than RUN bytes
+            out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+            i += 1
+            continue
+        a, b = int(starts[i]), int(ends[j - 1])
+        total = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw[a:b]] * _POWER[: b - a], out=total[1:])
+        out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * _INVERSE[starts[i:j] - a]
+        i = j
+    return mix(out)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as bytes, each closed by a line break, and where each ends."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+    return raw, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def hashed(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z in lower case if asked for, and the number of words of each text."""
+    raw, borders = joined(texts)
+    if lower:
+        raw = LOWER[raw]
+    starts, ends = spans(raw)
+    return hashes(raw, starts, ends), np.diff(np.searchsorted(starts, borders), prepend=0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,16 +95,37 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def windows(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of size words; fewer words than size give one hash of them all, none give none."""
-    if len(h) == 0:
-        return h
-    size = min(size, len(h))
-    out = np.zeros(len(h) - size + 1, dtype=np.uint64)
+def windows(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of size words, text by text, and their numbers; a text of fewer words gives one hash of them all, one of none none."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    number = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
+    n = max(len(h) - size + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
     for k in range(size):
-        out = out * np.uint64(M1) + h[k : len(h) - size + 1 + k]
+        out = out * np.uint64(M1) + h[k : n + k]
         out ^= out >> np.uint64(31)
-    return mix(out)
+    at = ragged(starts, number)
+    few = np.flatnonzero((counts > 0) & (counts < size))
+    if not len(few):
+        return mix(out[at]), number
+    whole = np.zeros(len(at), dtype=np.uint64)
+    fits = np.repeat(counts >= size, number)
+    whole[fits] = out[at[fits]]
+    place = np.cumsum(number) - number
+    for i in few.tolist():
+        v = 0
+        for x in h[starts[i] : ends[i]].tolist():
+            v = (v * M1 + x) % (1 << 64)
+            v ^= v >> 31
+        whole[place[i]] = v
+    return mix(whole), number
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, size numbers each, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -73,7 +134,7 @@ def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return total[ends] - total[starts]
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most about limit bytes in the column, one row at least."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -86,17 +147,8 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16_000_
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, each text closed by END, and the number of tokens of each."""
-    flat: list[bytes] = []
-    counts = np.empty(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        words = t.lower().split()
-        flat += words
-        counts[i] = len(words) + 1
-    ends = np.cumsum(counts) - 1
-    out = np.empty(int(counts.sum()), dtype=np.uint64)
-    inner = np.ones(len(out), dtype=bool)
-    inner[ends] = False
-    out[inner] = hashed(flat)
-    out[ends] = END
-    return out, counts
+    """Hashes of the words of all texts, A-Z in lower case, each text closed by END, and the number of tokens of each."""
+    words, counts = hashed(texts, lower=True)
+    out = np.full(len(words) + len(texts), END, dtype=np.uint64)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(texts)), counts)] = words
+    return out, counts + 1

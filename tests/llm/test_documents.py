@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.llm.cluster import stored
 from driftlens.llm import decontamination, html_text, near_duplicates, pii, quality_classifier, sharding
 
 R = random.Random(11)
@@ -37,7 +38,9 @@ def corpus():
     return rows
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)  # groups and buckets over it are compared block by block
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, node int")
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates.near_duplicates(docs).where("doc_id is not null").collect())
@@ -58,6 +61,24 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_large_group_makes_a_row_for_each_text(spark, monkeypatch):
+    """5,000 near copies and as many of a text that they hardly differ from: the steps' tables stay linear, the counts exact."""
+    base, loose = prose(700, 1), prose(60, 2)
+    rows = [(k, f"{base} {prose(4, 70_000 + k)}") for k in range(2500)] + [(10_000 + k, edited(loose, 1, k)) for k in range(2500)]
+    written = []
+    monkeypatch.setattr(near_duplicates, "stored", lambda df, what: written.append((what, out := stored(df, what))) or out)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == (0, 2499) for k in range(2500))  # settled by distance
+    sets = [shingle_set(t) for _, t in rows[2500:]]
+    for k in range(0, 2500, 97):
+        assert got[10_000 + k][1] == sum(len(sets[k] & s) >= 0.8 * len(sets[k] | s) for s in sets) - 1
+    sizes = {}
+    for what, df in written:
+        sizes[what] = max(sizes.get(what, 0), df.count())
+    assert all(n <= 32 * len(rows) for what, n in sizes.items() if what in ("near-members", "near-pivots-edges")), sizes
+    assert all(n <= 4 * len(rows) for what, n in sizes.items() if what not in ("near-members", "near-pivots", "near-pivots-edges", "near-all-edges")), sizes
+
+
 def test_null_ids_link_nothing(spark):
     got = near_duplicates.near_duplicates(spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")).collect()
     assert [tuple(r) for r in got] == [(None, None, 0)] * 2
