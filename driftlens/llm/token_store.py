@@ -1,9 +1,11 @@
 """Token-ID output (operator 7): a content-addressed store of token ids.
 
-A hash rolling over ROLL ids cuts each document's ids into chunks, so that equal passages give equal chunks. Each distinct
-chunk is stored once, in the pack that its digest's leading bits name. A document's recipe lists its chunks' digests and its
-root, the digest of that list; recipes lie in files of ascending doc_id, and the manifest holds a Merkle root for each file
-and one above them. Reading back maps the packs into memory and checks every chunk, document and file on the way.
+A hash rolling over ROLL ids, begun anew in each document, cuts its ids into chunks, so that equal passages give equal chunks
+and equal documents the same ones. Each distinct chunk is stored once, in the pack that its digest's leading bits name. A
+document's recipe lists its chunks' digests; recipes lie in files of ascending doc_id. Over them stands a Merkle tree: a leaf
+for each recipe (doc_id, start, tokens and chunks) in order, and level by level a digest of PAGE neighbours, up to the root in
+the manifest, which does not depend on how the recipes are dealt over files. Reading back first computes the tree anew, so that
+a lost, repeated, moved or changed recipe is noticed, and then maps the packs into memory and checks every chunk and leaf.
 
 A pack: magic, number of chunks, digests ascending, end offsets in ids, then the ids as little-endian unsigned 16-bit
 numbers (32-bit if the vocabulary needs them).
@@ -25,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import SLICE, encoder, tokenizer_path
-from .cluster import atomic_write, mounted, partitions, prepare, scratch, stored, table
+from .cluster import atomic_write, mounted, partitions, prepare, scratch, shards, stored, table
 from .words import bounded, mix
 
 #: Id after each document; ids that the rolling hash sees; mean and greatest ids of a chunk.
 END_ID, ROLL, MEAN, MOST = 2, 16, 256, 1024
+#: Digests under one of the next level, and bytes of input for a pack.
+PAGE, PACK = 1024, 128 << 20
 MAGIC, DIGEST = b"IDPACK01", 16
+RECIPE = "part int, place long, doc_id long, start long, n_tokens long, digests binary, leaf string"
 
 
 def digest(data: bytes) -> bytes:
@@ -38,15 +43,48 @@ def digest(data: bytes) -> bytes:
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ends of chunks: where the rolling hash is 0 modulo MEAN, at each document's end, and every MOST ids between."""
+    """Ends of chunks, those of a document being its own: where the rolling hash is 0 modulo MEAN, at each document's end (ascending), and every MOST ids between."""
     spread = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)))])
     rolled = spread[ROLL:] - spread[:-ROLL] if len(ids) >= ROLL else np.zeros(0, dtype=np.uint64)
-    cuts = np.union1d(np.flatnonzero((mix(rolled) & np.uint64(MEAN - 1)) == 0) + ROLL, ends)
+    cuts = np.flatnonzero((mix(rolled) & np.uint64(MEAN - 1)) == 0) + ROLL
+    document = np.searchsorted(ends, cuts)  # a cut lies in (end before, end]
+    cuts = cuts[cuts - np.concatenate([[0], ends[:-1]])[document] >= ROLL] if len(ends) else cuts
+    cuts = np.union1d(cuts, ends)
     begins = np.concatenate([[0], cuts[:-1]])
     more = [np.arange(b + MOST, e, MOST) for b, e in zip(begins[cuts - begins > MOST], cuts[cuts - begins > MOST], strict=True)]
     return np.union1d(cuts, np.concatenate(more)) if more else cuts
 
 
+def leaf(doc_id: int | None, n: int, digests: bytes) -> str:
+    return digest(f"{doc_id}:{n}:".encode() + digests).hex()
+
+
+def files_of(told: DataFrame) -> list[dict]:
+    """For each file of recipes its documents and ids, and how many come before it; a row for each file comes to the driver."""
+    files, docs, ids = [], 0, 0
+    for r in told.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids")).orderBy("part").collect():
+        files.append({"part": r.part, "docs": r.docs, "ids": r.ids, "docs_before": docs, "ids_before": ids})
+        docs, ids = docs + r.docs, ids + r.ids
+    return files
+
+
+def root_of(told: DataFrame, files: list[dict]) -> str:
+    """Root of the Merkle tree of all recipes in order: PAGE neighbours are one digest of the next level, until one is left."""
+    if not files:
+        return digest(b"").hex()
+    before = told.sparkSession.createDataFrame([(f["part"], f["docs_before"], f["ids_before"]) for f in files], "part int, docs_before long, ids_before long")
+    level = told.join(F.broadcast(before), "part").select((F.col("docs_before") + F.col("place")).alias("place"), F.concat_ws(":", (F.col("ids_before") + F.col("start")).cast("string"), "leaf").alias("digest"))
+    entry = lambda s: F.concat_ws(":", s.place.cast("string"), s.digest)
+    left = sum(f["docs"] for f in files)
+    while True:
+        page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), entry), ",")
+        level = level.groupBy(F.floor(F.col("place") / PAGE).cast("long").alias("place")).agg(F.sha2(page, 256).alias("digest"))
+        left = -(-left // PAGE)
+        if left <= 1:
+            rows = level.limit(2).collect()
+            return rows[0].digest if len(rows) == 1 else "more than one"
+
+
 #: A chunk (pack, digest, ids) or a document's recipe (pack: any; doc_id, n_tokens, digests).
 STAGED = "pack int, doc_id long, n_tokens long, digests binary, ids binary"
 STAGED_SCHEMA = pa.schema([("pack", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("ids", pa.binary())])
@@ -69,7 +107,7 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> Store:
     prepare(spark)
     token_path = tokenizer or tokenizer_path()
     width = 2 if len(encoder(token_path).token) <= 1 << 16 else 4
-    packs = 1 << (max(64, partitions(spark)) - 1).bit_length()
+    packs = shards(docs, 64, PACK)
     shift = 32 - (packs.bit_length() - 1)
     path = mounted(scratch(spark, "token-store"))
     os.makedirs(path, exist_ok=True)
@@ -77,10 +115,10 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> Store:
     def stage(batches):
         enc = encoder(token_path)
         for b in bounded(batches, "text", SLICE):
-            closing = np.array([END_ID], dtype=np.uint32).tobytes()
-            encoded = [x + closing for x in enc.encode(b.column("text").to_pylist())]
-            counts = np.array([len(x) // 4 for x in encoded])
-            ids = np.frombuffer(b"".join(encoded), dtype=np.uint32)
+            encoded, counts = enc.encode(b.column("text").cast(pa.binary()).to_pylist())
+            ids = np.full(len(encoded) + len(counts), END_ID, dtype=np.uint32)  # END_ID after each document
+            ids[np.arange(len(encoded)) + np.repeat(np.arange(len(counts)), counts)] = encoded
+            counts = counts + 1
             ends = np.cumsum(counts)
             cuts = cut_points(ids, ends)
             data, seen = ids.astype(f"<u{width}").tobytes(), set()
@@ -115,38 +153,32 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> Store:
             yield pa.RecordBatch.from_arrays([pa.array([len(order)], type=pa.int64()), pa.array([None], type=pa.int64()), pa.array([None], type=pa.binary())], names=["doc_id", "n_tokens", "digests"])
 
     def recipe(batches):
-        """In a file's order: each document's place in it and root, and the digest of all roots so far."""
-        part, at, roots = TaskContext.get().partitionId(), 0, hashlib.blake2b(digest_size=DIGEST)
+        """In a file's order: each document's place in it, and the leaf of the tree."""
+        part, at, place = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             n = b.column("n_tokens").to_numpy()
             lists = b.column("digests").to_pylist()
-            own = [digest(x) for x in lists]
-            chain = []
-            for r in own:
-                roots.update(r)
-                chain.append(roots.digest())
             starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), type=pa.int32()), b.column("doc_id"), pa.array(starts), pa.array(n), pa.array(lists, type=pa.binary()), pa.array(own, type=pa.binary()), pa.array(chain, type=pa.binary())], names=["part", "doc_id", "start", "n_tokens", "digests", "root", "chain"])
+            places = np.arange(place, place + len(n))
+            at, place = at + int(n.sum()), place + len(n)
+            leaves = [leaf(*x) for x in zip(b.column("doc_id").to_pylist(), n.tolist(), lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), type=pa.int32()), pa.array(places), b.column("doc_id"), pa.array(starts), pa.array(n), pa.array(lists, type=pa.binary()), pa.array(leaves, type=pa.string())], names=["part", "place", "doc_id", "start", "n_tokens", "digests", "leaf"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     staged = rows.mapInArrow(stage, STAGED).repartitionById(packs, F.col("pack"))
     told = stored(staged.mapInArrow(pack, "doc_id long, n_tokens long, digests binary"), "token-recipes")
     n_chunks = told.where("n_tokens is null").agg(F.sum("doc_id")).first()[0]
-    ordered = told.where("n_tokens is not null").repartitionByRange(partitions(spark), "doc_id", "digests").sortWithinPartitions("doc_id", "digests")
-    ordered.mapInArrow(recipe, "part int, doc_id long, start long, n_tokens long, digests binary, root binary, chain binary").write.parquet(f"file://{path}/recipes")
-    files = recipes(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"), F.max_by("chain", F.struct("start", "n_tokens")).alias("root")).orderBy("part").collect()  # a row for each file
-    total, listed = 0, []
-    for f in files:
-        listed.append({"part": f.part, "first": total, "ids": f.n, "docs": f.docs, "root": bytes(f.root).hex()})
-        total += f.n
-    root = digest(b"".join(bytes.fromhex(x["root"]) for x in listed)).hex()
-    atomic_write(f"{path}/manifest.json", json.dumps({"version": 1, "width": width, "packs": packs, "chunks": n_chunks or 0, "ids": total, "files": listed, "root": root}).encode())
-    return Store(path, packs, width, root)
+    ordered = told.where("n_tokens is not null").withColumn("tie", F.xxhash64("digests")).repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "digests")
+    ordered.drop("tie").mapInArrow(recipe, RECIPE).write.parquet(f"file://{path}/recipes")
+    told = recipes(spark, path)
+    files = files_of(told)
+    manifest = {"version": 2, "width": width, "packs": packs, "chunks": n_chunks or 0, "ids": sum(f["ids"] for f in files), "files": files, "root": root_of(told, files)}
+    atomic_write(f"{path}/manifest.json", json.dumps(manifest).encode())
+    return Store(path, packs, width, manifest["root"])
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, doc_id long, start long, n_tokens long, digests binary, root binary, chain binary").parquet(f"file://{path}/recipes")
+    return spark.read.schema(RECIPE).parquet(f"file://{path}/recipes")
 
 
 class Packs:
@@ -176,12 +208,13 @@ class Packs:
 
 
 def read(spark: SparkSession, store: Store) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document, rebuilt from the files and verified."""
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document, rebuilt from the files and verified; ValueError if damaged."""
     prepare(spark)
     manifest = json.loads(open(f"{store.path}/manifest.json").read())
-    if digest(b"".join(bytes.fromhex(f["root"]) for f in manifest["files"])).hex() != manifest["root"]:
-        raise ValueError("the manifest is damaged")
-    first = {f["part"]: f["first"] for f in manifest["files"]}
+    told = recipes(spark, store.path)
+    if manifest["root"] != store.root or files_of(told) != manifest["files"] or root_of(told, manifest["files"]) != store.root:
+        raise ValueError("the store's manifest or recipes are damaged")
+    first = {f["part"]: f["ids_before"] for f in manifest["files"]}
     path, packs, width = store.path, manifest["packs"], manifest["width"]
 
     def rebuild(batches):
@@ -190,8 +223,8 @@ def read(spark: SparkSession, store: Store) -> DataFrame:
             for at in range(0, b.num_rows, 200):
                 c = b.slice(at, 200)
                 out = []
-                for lists, root, n in zip(c.column("digests").to_pylist(), c.column("root").to_pylist(), c.column("n_tokens").to_pylist(), strict=True):
-                    if digest(lists) != root:
+                for doc_id, n, lists, told in zip(*(c.column(x).to_pylist() for x in ("doc_id", "n_tokens", "digests", "leaf")), strict=True):
+                    if leaf(doc_id, n, lists) != told:
                         raise ValueError("a recipe is damaged")
                     ids = b"".join(reader.chunk(lists[k : k + DIGEST]) for k in range(0, len(lists), DIGEST))
                     if len(ids) != n * width:
