@@ -22,7 +22,7 @@ from .kneser_ney import RUN_SCHEMA, RUNS, _batch, _merged, _runs, discounts
 from .words import bounded
 
 ORDER, START, END, SYMBOLS = 4, 2, 3, 257
-ODD = 0x9E3779B1
+ODD = 0x5E3779B1  # under 2 ** 31: times 32 bits it fits a signed long
 INVERSE = pow(ODD, -1, 1 << 32)
 
 
@@ -53,7 +53,7 @@ def unmixed(x: np.ndarray) -> np.ndarray:
 
 def _count(shards: int):
     def count(batches):
-        for b in bounded(batches, "t"):
+        for b in bounded(batches, "t", 16_000_000):
             keys, n = np.unique(grams(b.column("t").to_pylist())[0], return_counts=True)
             yield _batch(list(_runs("con", shards, keys, n.astype(np.int64))), RUN_SCHEMA)
 

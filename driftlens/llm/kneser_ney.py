@@ -5,6 +5,10 @@ Spark deals the runs out by shard; a task merges the runs of a shard and writes
 key is a bijective mix of the leading 32 bits of both words' hashes, so shards are even however common a word is, and the
 contexts and continuations are read back from the keys. Scoring maps the arrays into memory and searches them in bulk.
 
+Bigrams, contexts and continuations tell words by 32 bits of their hashes: of V distinct words about V * V / 2 ** 33 pairs share
+them (1 in 4,000 words of a vocabulary of a million) and are one word to the model's higher order; n_known and the base score
+use all 64 bits. Wider keys ran over the disk: at 16 bytes for a bigram the runs and arrays come to 5.8 times the input.
+
 Files of a model: uni (64-bit word hash, count), bi (mixed bigram, count), ctx (context: sum of counts; numbers of words
 seen once, twice, more often after it), con (word: number of different words before it); one of each for each shard.
 """
@@ -21,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import atomic_write, mounted, partitions, prepare, scratch, stored
+from .cluster import atomic_write, mounted, prepare, scratch, stored
+from .cluster import shards as spread
 from .words import START, bounded, mix, tokens, unmix
 
 RUNS = "shard int, kind string, keys binary, vals binary"
@@ -29,6 +34,8 @@ SUMS = "kind string, entries long, total long, n1 long, n2 long, n3 long, n4 lon
 #: Width in bytes of a key, and type and number of the values beside it.
 KINDS = {"uni": (np.uint64, np.uint32, 1), "bi": (np.uint64, np.uint32, 1), "ctx": (np.uint32, np.int64, 4), "con": (np.uint32, np.int64, 1)}
 HALF = np.uint64(32)
+#: Bytes of input for a shard.
+SHARD = 64 << 20
 
 
 @dataclass
@@ -87,7 +94,7 @@ def bigrams(tok: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _count(shards: int):
     def count(batches):
-        for b in bounded(batches, "t"):
+        for b in bounded(batches, "t", 16_000_000):
             tok, counts = tokens(b.column("t").to_pylist())
             rows = []
             for kind, keys in (("uni", tok), ("bi", bigrams(tok, counts))):
@@ -131,7 +138,7 @@ def _merge(path: str, shards: int):
                 runs.setdefault((s, kind), []).append((k, v))
         for s, kind in sorted(runs):
             keys, vals = _merged(kind, runs.pop((s, kind)))
-            out_type = np.float64 if kind == "ctx" else np.uint32
+            out_type = np.float64 if kind == "ctx" else np.uint32 if vals.max(initial=0) < 1 << 32 else np.uint64
             atomic_write(f"{path}/{kind}-{s}.k", keys.tobytes())
             atomic_write(f"{path}/{kind}-{s}.v", vals.astype(out_type).tobytes())
             counts = vals[:, 0]
@@ -149,11 +156,11 @@ def _merge(path: str, shards: int):
 def fit(docs: DataFrame, text: str = "t") -> Model:
     """Counts the texts (a binary column of UTF-8) and writes the model. No rows: an empty model, which scores every word alike.
 
-    The number of shards follows spark.sql.shuffle.partitions, so a shard stays a bounded share of the corpus.
+    The number of shards follows the plan's estimate of the input, SHARD bytes for each, so that a task's runs fit in memory.
     """
     spark = docs.sparkSession
     prepare(spark)
-    shards = 1 << (max(64, partitions(spark)) - 1).bit_length()
+    shards = spread(docs, 64, SHARD)
     path = mounted(scratch(spark, "kneser-ney"))
     os.makedirs(path, exist_ok=True)
     counted = docs.select(F.col(text).alias("t")).mapInArrow(_count(shards), RUNS)
@@ -176,8 +183,10 @@ class Reader:
             for s in range(m.shards):
                 f = f"{m.path}/{kind}-{s}"
                 if os.path.exists(f"{f}.k") and os.path.getsize(f"{f}.k"):
-                    v = np.memmap(f"{f}.v", dtype=np.float64 if kind == "ctx" else np.uint32, mode="r")
-                    out.append((np.memmap(f"{f}.k", dtype=key_type, mode="r"), v.reshape(-1, width)))
+                    k = np.memmap(f"{f}.k", dtype=key_type, mode="r")
+                    wide = os.path.getsize(f"{f}.v") // (len(k) * width) == 8
+                    v = np.memmap(f"{f}.v", dtype=np.float64 if kind == "ctx" else np.uint64 if wide else np.uint32, mode="r")
+                    out.append((k, v.reshape(-1, width)))
                 else:
                     out.append(None)
             self.arrays[kind] = out

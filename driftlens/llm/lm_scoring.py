@@ -42,4 +42,4 @@ def score(docs: DataFrame, model: Model, text: str = "t", keep: tuple[str, ...]
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), text_bytes().alias("t"))
     model = fit(docs.where("not held_out"))
-    return score(docs, model).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -175,16 +175,37 @@ def masked(found: DataFrame, name: Callable[[str], str]) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text replaced by [EMAIL], [PHONE], [CARD] and [IP], and disclosing terms by [TERM]; n_chars, if there, follows."""
+    """docs with the spans of personal data in text replaced by [EMAIL], [IP], [CARD] and [PHONE], and those of disclosing terms by [TERM].
+
+    The text is built once, from the spans that report() tells; spans of base kinds that overlap are replaced as one, by the
+    name of the first. n_chars, if there, follows. A null text becomes empty.
+    """
     found = find(docs, keep_text=True)
-    text = "text"
-    found = masked(found, lambda kind: f"[{kind.upper()}]")
-    hit = F.size("_term") > 0
-    found = found.withColumn("_m", F.when(hit, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).withColumn("_p", F.when(hit, F.split(text, WORD, -1)))
-    terms = F.transform("_m", lambda m: F.when(F.array_contains("terms", F.lower(m)), F.lit("[TERM]")).otherwise(m))
-    found = found.withColumn(text, F.when(hit, _woven(F.col("_p"), terms)).otherwise(F.col(text)))
+    spans = F.array_sort(F.concat(*(F.transform(f"_{k}", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.lit(f"[{k.upper()}]").alias("name"))) for k in (*KINDS, "term"))))  # noqa: B023
+    found = found.withColumn("_all", spans).withColumn("_n", F.size("_all"))
+    clash = (F.col("_n") > 1) & F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("_n"))), lambda i: F.try_element_at("_all", i).s < F.try_element_at("_all", i - 1).e)
+
+    def merge(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last.s.alias("s"), F.greatest(last.e, x.e).alias("e"), last["name"].alias("name"))
+        return F.when(last.e > x.s, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    none = F.array().cast("array<struct<s:int,e:int,name:string>>")
+    found = found.withColumn("_all", F.when(clash, F.aggregate("_all", none, merge)).otherwise(F.col("_all"))).withColumn("_n", F.size("_all"))
+    # BLOCK spans at a time share a part of the text, so that no place is counted from the text's beginning for each span
+    first = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.try_element_at("_all", k * BLOCK).e)
+    last = lambda k: F.element_at("_all", F.least((k + 1) * BLOCK, F.col("_n"))).e
+    part = lambda k: F.struct(first(k).alias("at"), F.substr("text", first(k) + 1, last(k) - first(k)).alias("text"), F.slice("_all", k * BLOCK + 1, F.lit(BLOCK)).alias("spans"))
+    found = found.withColumn("_parts", F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / BLOCK).cast("int")), part)))
+
+    def woven(p: Column) -> Column:
+        before = lambda i: F.when(i == 0, p.at).otherwise(F.try_element_at(p.spans, i).e)
+        return F.array_join(F.transform(p.spans, lambda x, i: F.concat(F.substr(p.text, before(i) - p.at + 1, x.s - before(i)), x["name"])), "")
+
+    rest = F.expr("substring(text, _all[_n - 1].e + 1)")
+    found = found.withColumn("text", F.when(F.col("_n") > 0, F.concat(F.array_join(F.transform("_parts", woven), ""), rest)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length(text).cast("long"))
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
     return found.select(*docs.columns)
 
 

@@ -8,13 +8,17 @@ SMALLEST. A tier with FANOUT shards or more is merged, in order of arrival, WIDE
 tier is that full; shards of half of TARGET or more are done. A task reads a run's shards and writes one file, so nothing is shuffled; a job has
 RUNS tasks or as many as the cluster runs at once.
 A manifest lists the shards of a version. Its number is claimed by creating a file that may not exist before, and it is
-renamed into place when complete; readers see whole versions only. vacuum() drops shards that no kept version lists.
+renamed into place when complete; readers see whole versions only. A writer changes the version that it has read: if another
+one has committed since, it reads again and puts its change on top, so that nothing committed is lost. A claim older than
+LEASE seconds without a manifest is a dead writer's and is taken over. Compaction drops nothing; vacuum() drops shards that no
+kept version lists, once no reader needs them.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .cluster import prepare, scratch, table
 
-SMALLEST, FANOUT, WIDEST, TARGET, RUNS = 256 << 10, 4, 64, 32 << 20, 64
+SMALLEST, FANOUT, WIDEST, TARGET, RUNS, LEASE = 256 << 10, 4, 64, 64 << 20, 256, 600
 UNION = "spark.sql.unionOutputPartitioning"
 #: Arrivals that the query makes of a table, by hash of the id.
 ARRIVALS = 8
@@ -63,6 +67,10 @@ def plan(shards: list[Shard]) -> list[list[Shard]]:
     return [r for r in out if len(r) > 1]
 
 
+class Conflict(RuntimeError):
+    """Another writer has made the version."""
+
+
 class ShardStore:
     """Shards and manifests below a path."""
 
@@ -80,20 +88,23 @@ class ShardStore:
 
     def shards(self, version: int | None = None) -> list[Shard]:
         """The shards of a version, the last by default."""
+        return self.state()[1] if version is None else self._manifest(version)
+
+    def state(self) -> tuple[int, list[Shard]]:
+        """Number and shards of the last version; 0 and none before the first."""
         known = self.versions()
-        if not known and version is None:
-            return []
-        with_version = self._path(f"manifests/v{known[-1] if version is None else version:08d}.json")
-        stream = self._fs.open(with_version)
+        return (known[-1], self._manifest(known[-1])) if known else (0, [])
+
+    def _manifest(self, version: int) -> list[Shard]:
+        stream = self._fs.open(self._path(f"manifests/v{version:08d}.json"))
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
         return [Shard(**s) for s in json.loads(text)["shards"]]
 
     def commit(self, shards: list[Shard], parent: int) -> int:
-        """Makes the shards version parent + 1; fails if another writer has claimed that."""
+        """Makes the shards version parent + 1; Conflict if another writer has made or claimed that."""
         version = parent + 1
-        if not self._fs.createNewFile(self._path(f"manifests/v{version:08d}.claim")):
-            raise RuntimeError(f"version {version} is another writer's")
+        self._claim(version)
         draft = self._path(f"manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps({"version": version, "parent": parent, "bytes": sum(s.bytes for s in shards), "shards": [asdict(s) for s in shards]}).encode()))
@@ -102,8 +113,28 @@ class ShardStore:
             raise RuntimeError(f"version {version} can't be put in place")
         return version
 
-    def _last(self) -> int:
-        return (self.versions() or [0])[-1]
+    def _claim(self, version: int) -> None:
+        claim, done = self._path(f"manifests/v{version:08d}.claim"), self._path(f"manifests/v{version:08d}.json")
+        if self._fs.createNewFile(claim):
+            return
+        if not self._fs.exists(done) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > LEASE:
+            if self._fs.rename(claim, self._path(f"manifests/.dead-{uuid.uuid4().hex}")) and self._fs.createNewFile(claim):  # one writer can rename it
+                return
+        raise Conflict(f"version {version} is another writer's")
+
+    def change(self, drop: set[str], add: list[Shard]) -> int:
+        """Commits the last version without some shards and with others, on top of whatever is the last version then."""
+        until = time.time() + 2 * LEASE
+        while True:
+            version, now = self.state()
+            if drop - {s.file for s in now}:
+                raise Conflict("shards to be replaced are gone")
+            try:
+                return self.commit([s for s in now if s.file not in drop] + add, version)
+            except Conflict:
+                if time.time() > until:
+                    raise
+                time.sleep(0.2)
 
     def _files(self, folder: str) -> list[tuple[str, int]]:
         out, found = [], self._fs.listFiles(self._path(folder), True)
@@ -129,13 +160,16 @@ class ShardStore:
             rows.limit(0).write.parquet(f"{self.path}/{folder}-empty")
             own[-1] = [Shard(f, n, -1) for f, n in self._files(f"{folder}-empty")]
         for at in sorted(own):
-            self.commit(self.shards() + own[at], self._last())
+            self.change(set(), own[at])
+
+    def compact(self, alone: bool = False) -> int:
+        """Merges until no tier is full; returns the number of rounds. Every round is a job of RUNS tasks or more, and a version.
 
-    def compact(self) -> int:
-        """Merges until no tier is full; returns the number of rounds. Every round is a job and a version."""
+        alone says that nobody else reads or writes the store: shards are then dropped as soon as they are merged.
+        """
         rounds = 0
-        while runs := plan(before := self.shards()):
-            parent, merged = self._last(), []
+        while runs := plan(self.shards()):
+            merged = []
             width = max(RUNS, self.spark.sparkContext.defaultParallelism)
             for at in range(0, len(runs), width):
                 now, folder = runs[at : at + width], f"shards/{uuid.uuid4().hex}"
@@ -146,8 +180,9 @@ class ShardStore:
                 self.spark.conf.unset(UNION) if before_conf is None else self.spark.conf.set(UNION, before_conf)
                 merged += [Shard(f, n, max(s.arrival for s in now[int(f.rsplit("part-", 1)[1][:5])])) for f, n in self._files(folder)]
             gone = {s.file for run in runs for s in run}
-            self.commit([s for s in before if s.file not in gone] + merged, parent)
-            self.vacuum(keep=1)
+            self.change(gone, merged)
+            if alone:
+                self.vacuum(keep=1)
             rounds += 1
         return rounds
 
@@ -173,7 +208,7 @@ def compacted(docs: DataFrame, arrivals: int = ARRIVALS, path: str | None = None
     prepare(spark)
     store = ShardStore(spark, path or scratch(spark, "shards"))
     store.append(docs, F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(arrivals)))
-    store.compact()
+    store.compact(alone=path is None)
     return store
 
 
