@@ -32,7 +32,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Characters of a leaf of a long text, of the first window on either side of a cut, and tokens that must agree.
 LEAF, WINDOW, AGREE = 16_384, 64, 4
 #: Words that a worker remembers (the less used half goes when full), pieces of words (emptied when full), words to a call of the library, and bytes of text at a time.
-CACHE_WORDS, CACHE_PIECES, CALL, SLICE = 600_000, 400_000, 64, 6_000_000
+CACHE_WORDS, CACHE_PIECES, CALL, SLICE = 600_000, 300_000, 64, 4_000_000
 #: What a word tokenizer's file says, for which words are encoded one by one.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"

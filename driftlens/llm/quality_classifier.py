@@ -116,26 +116,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, Head]
             yield pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in dense], type=pa.binary()), pa.array([words[e - k : e].tobytes() for e, k in zip(cuts, n, strict=True)], type=pa.binary()), b.column("quality"), b.column("toxic")], names=["dense", "words", "quality", "toxic"])
 
     once = docs.select("doc_id", "t").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("t").alias("t"))  # of repeated ids one text
-    rows = once.select("t", "quality", "toxic").mapInArrow(features, "dense binary, words binary, quality int, toxic int").collect()  # SAMPLE rows at most
-    if not rows:
+    rows = once.select("t", "quality", "toxic").mapInArrow(features, "dense binary, words binary, quality int, toxic int")
+    dense, lists, marks = [], [], []
+    for r in rows.toLocalIterator():  # SAMPLE rows at most, a partition's at a time in the driver's JVM
+        dense.append(np.frombuffer(r.dense))
+        lists.append(np.frombuffer(r.words, dtype=np.uint64))
+        marks.append((r.quality, r.toxic))
+    if not marks:
         return np.zeros(0, dtype=np.uint64), {}
-    x = np.concatenate([np.ones((len(rows), 1)), np.stack([np.frombuffer(r.dense) for r in rows])], axis=1)
-    lists = [np.frombuffer(r.words, dtype=np.uint64) for r in rows]
-    words, which, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(rows)), [len(w) for w in lists])
+    x = np.concatenate([np.ones((len(dense), 1)), np.stack(dense)], axis=1)
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(w) for w in lists])
+    every = np.concatenate(lists)
+    del dense, lists
+    words, df = np.unique(every, return_counts=True)
+    words, df = words[df >= LEAST], df[df >= LEAST]
+    which = np.searchsorted(words, every)
+    known = which < len(words)
+    known[known] = words[which[known]] == every[known]
+    row, which = row[known], which[known].astype(np.int32)
+    del every, known
     strength = np.zeros(len(words))
-    ys = {h: np.array([getattr(r, h) for r in rows], dtype=float) for h in ("quality", "toxic")}
+    ys = {h: np.array([m[k] for m in marks], dtype=float) for k, h in enumerate(("quality", "toxic"))}
     for y in ys.values():  # how far a word's share of a class is from the class's share, in standard deviations
         mean = y.mean()
         z = np.abs(np.bincount(which, weights=y[row], minlength=len(words)) - df * mean) / np.sqrt(df * max(mean * (1 - mean), EDGE) + 1)
         strength = np.maximum(strength, z)
-    strength[df < LEAST] = -1
     chosen = np.sort(np.argsort(-strength, kind="stable")[:WORDS])
     chosen = chosen[strength[chosen] > 0]
     place = np.full(len(words), -1)
     place[chosen] = np.arange(len(chosen))
     inside = place[which] >= 0
-    heads = {h: Head(regression(x, row[inside], place[which][inside], y, len(chosen)), float(np.clip(y.mean(), EDGE, 1 - EDGE))) for h, y in ys.items()}
+    row, which = row[inside], place[which[inside]]
+    heads = {h: Head(regression(x, row, which, y, len(chosen)), float(np.clip(y.mean(), EDGE, 1 - EDGE))) for h, y in ys.items()}
     return words[chosen], heads
 
 

@@ -7,6 +7,7 @@ value stands for a random number), read off prefix sums and mixed; two different
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+_libc = ctypes.CDLL(None)
+
 #: No word is white space, so these hashes stand for no word.
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\t"))
 
@@ -134,8 +137,8 @@ def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return total[ends] - total[starts]
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with at most about limit bytes in the column, one row at least."""
+def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most about limit bytes in the column, one row at least; a worker then gives memory back."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -144,6 +147,14 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_0
             n = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield b.slice(at, n - at)
             at = n
+    release()
+
+
+def release() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
