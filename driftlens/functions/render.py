@@ -13,8 +13,12 @@ from . import predicates
 SHOWN, SHOWN_OF_MORE = 5, 4
 
 
+#: How shapes without parts read.
+PLAIN = {"text": "string", "integer": "int", "number": "number", "boolean": "bool", "null": "null", "undefined": "undefined", "unknown": "any"}
+
+
 def body_text(shape: dict | None) -> str:
-    """A body in braces by its keys; other shapes by their type."""
+    """A body in braces by its keys, in brackets by its items; others by their type."""
     if not shape:
         return ""
     kind = shape["type"]
@@ -22,14 +26,16 @@ def body_text(shape: dict | None) -> str:
         names = list(shape.get("properties", {}))
         return "{ " + ", ".join(names if len(names) <= SHOWN else [*names[:SHOWN_OF_MORE], "..."]) + " }" if names else "{}"
     if kind == "array":
-        return f"{body_text(shape['items']) or 'unknown'}[]"
+        return f"[{body_text(shape['items'])}]"
+    if kind == "dictionary":
+        return f"{{ [key]: {body_text(shape['values'])} }}"
     if kind == "literal":
-        return json.dumps(shape["value"])
+        return json.dumps(shape["value"], ensure_ascii=False)
     if kind == "ref":
         return shape["name"]
     if kind == "union":
-        return " | ".join(filter(None, map(body_text, shape["variants"])))
-    return "" if kind == "unknown" else kind
+        return " | ".join(map(body_text, shape["variants"]))
+    return PLAIN.get(kind, kind)
 
 
 def output_text(output: dict) -> str:

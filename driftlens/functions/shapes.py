@@ -16,8 +16,17 @@ from pyspark.sql import types as T
 
 from .lattice import MATCH, NOMATCH, UNKNOWN
 
-#: What a literal of a Python type is an instance of.
-WIDER = {"str": ("text",), "bool": ("boolean",), "int": ("integer", "number"), "float": ("number",), "NoneType": ("null",)}
+#: Shapes that a literal of a Python type is one of.
+WIDER = {"str": {"text"}, "bool": {"boolean"}, "int": {"integer", "number"}, "float": {"number"}, "NoneType": set()}
+
+
+def _wider(value) -> set[str]:
+    return WIDER["int"] if isinstance(value, float) and value.is_integer() else WIDER[type(value).__name__]
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: 1 and 1.0 are one number, 1 and true aren't equal."""
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
 
 
 def _kind(shape: dict) -> str:
@@ -39,10 +48,10 @@ def match(actual: dict, declared: dict) -> int:
         return min((match(v, declared) for v in actual["variants"]), default=MATCH)
     if d == "union":
         return max((match(actual, v) for v in declared["variants"]), default=NOMATCH)
-    if a == "dictionary" or d == "dictionary":
-        if a == d:
-            return match(actual["values"], declared["values"])
-        return UNKNOWN if {a, d} == {"record", "dictionary"} else NOMATCH
+    if d == "dictionary" and a == "record":  # every value is one of the dictionary's
+        return UNKNOWN if actual.get("spreads") else min((match(v, declared["values"]) for v in actual.get("properties", {}).values()), default=MATCH)
+    if a == "dictionary":
+        return match(actual["values"], declared["values"]) if d == a else UNKNOWN if d == "record" else NOMATCH
     if a == "record" and d == "record":
         if actual.get("spreads") or declared.get("spreads"):
             return UNKNOWN
@@ -55,14 +64,10 @@ def match(actual: dict, declared: dict) -> int:
         return min(results, default=MATCH)
     if a == "array" and d == "array":
         return match(actual["items"], declared["items"])
+    if d == "literal":  # nothing wider is sure to be that value
+        return MATCH if a == d and _same(actual.get("value"), declared.get("value")) else NOMATCH
     if a == "literal":
-        value = actual.get("value")
-        if d == "literal":
-            other = declared.get("value")
-            return MATCH if type(value) is type(other) and value == other else NOMATCH
-        return MATCH if d in WIDER[type(value).__name__] else NOMATCH
-    if d == "literal":  # a wider actual may or may not be that value
-        return UNKNOWN if a in WIDER[type(declared.get("value")).__name__] else NOMATCH
+        return MATCH if d in _wider(actual.get("value")) else NOMATCH
     return MATCH if a == d or (a, d) == ("integer", "number") else NOMATCH
 
 

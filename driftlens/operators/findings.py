@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import collapsed
+from ..functions.keys import collapsed, rule_boundary
 
 RANK = {"error": 0, "warning": 1, "info": 2}
 
@@ -32,15 +32,28 @@ def dedupe(findings: DataFrame) -> DataFrame:
     return merged.select("seq", "kind", "boundary", "description", "consumer", "transition", severity_name(F.col("rank")).alias("severity"), F.when(F.col("n_merged") > 1, F.array_sort("providers")).alias("sources"), "n_merged")
 
 
+def _rule_key(*fields: Column) -> Column:
+    """The set fields of a rule, or some fields of a finding, as one text; a null field is one that isn't asked for."""
+    return F.to_json(F.array(*fields))
+
+
 def suppress(findings: DataFrame, rules: DataFrame, keep_hidden: bool = False) -> DataFrame:
-    """Applies to each finding (seq, kind, boundary, severity) the first rule by ord (ord, kind, boundary, effect) whose set fields all agree.
+    """Applies to each finding (seq, kind, boundary, severity; consumer and transition if there) the first rule by ord whose set fields all agree.
 
-    hide drops, mark keeps and doesn't count, downgrade lowers the severity by a step and counts. Rules are a short configured list; the join is a
-    broadcast whose size Spark checks.
+    Rules are (ord, kind, boundary, effect) and perhaps consumer and transition; their boundaries are normalised, so that
+    "get /users/:id" is "GET /users/{id}", and none is that of unbound findings. A rule without a set field agrees with none.
+    hide drops, mark keeps and doesn't count, downgrade lowers the severity by a step and counts. Each finding asks for every
+    choice of its fields, so that the rules are joined on equality.
     """
-    f, r = findings.alias("f"), rules.select(F.col("ord"), F.col("kind").alias("r_kind"), F.col("boundary").alias("r_boundary"), "effect").alias("r")
-    agrees = (F.col("r_kind").isNull() | (F.col("r_kind") == F.col("kind"))) & (F.col("r_boundary").isNull() | (F.col("r_boundary") == F.col("boundary"))) & (F.col("r_kind").isNotNull() | F.col("r_boundary").isNotNull())
-    hit = f.join(r, agrees).groupBy("seq").agg(F.min_by("effect", "ord").alias("effect"))
+    names = ["kind", "boundary", "consumer", "transition"]
+    missing = lambda df: [F.col(x).cast("string") if x in df.columns else F.lit(None).cast("string") for x in names]
+    kind, boundary, consumer, transition = missing(rules)
+    wanted = rules.where(F.coalesce(kind, boundary, consumer, transition).isNotNull()).select("ord", "effect", _rule_key(kind, rule_boundary(boundary), consumer, transition).alias("asked"))
+    own = missing(findings)
+    own[1] = F.nullif(own[1], F.lit("_noboundary_"))
+    choices = [[x if mask >> k & 1 else F.lit(None).cast("string") for k, x in enumerate(own)] for mask in range(1, 1 << len(own))]
+    asked = findings.select("seq", F.explode(F.array_distinct(F.array(*(_rule_key(*c) for c in choices)))).alias("asked"))
+    hit = asked.join(wanted, "asked").groupBy("seq").agg(F.min_by("effect", "ord").alias("effect"))
     out = findings.join(hit, "seq", "left")
     rank = severity_rank(F.col("severity"))
     out = out.withColumn("severity", F.when(F.col("effect") == "downgrade", severity_name(F.least(rank + 1, F.lit(2)))).otherwise(F.col("severity")))
@@ -86,10 +99,13 @@ def confidence(conditions: DataFrame) -> DataFrame:
 
 
 def _checkpoints(df: DataFrame) -> None:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftlens-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftlens-"))
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:

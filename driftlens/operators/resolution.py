@@ -24,7 +24,7 @@ def follow_targets(calls: DataFrame, units: DataFrame) -> DataFrame:
 
 def rethrows(throws: DataFrame, callees: DataFrame) -> DataFrame:
     """Throws passed on (unit, start, end, file) with the exceptions of the function that lies there (start, end, path, exception); the path ends in the file."""
-    return throws.join(callees, ["start", "end"]).where(F.col("path").endswith(F.col("file"))).select("unit", "exception").distinct()
+    return throws.distinct().join(callees.distinct(), ["start", "end"]).where(F.col("path").endswith(F.col("file"))).select("unit", "exception").distinct()
 
 
 def positional(calls: DataFrame, sub_units: DataFrame) -> DataFrame:

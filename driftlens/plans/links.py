@@ -23,8 +23,8 @@ def follow_links(spark, d):
 
 def rethrow_enrichment(spark, d):
     n = F.col("l_suppkey")
-    throws = scan(spark, d, "lineitem").where("l_linenumber = 2").select(n.alias("unit"), (F.col("l_partkey") % 40).alias("start"), (F.col("l_partkey") % 40 + 5).alias("end"), F.concat(F.lit("m"), n % 5, F.lit(".ts")).alias("file"))
-    callees = scan(spark, d, "part").where("p_partkey < 400").select((F.col("p_partkey") % 40).alias("start"), (F.col("p_partkey") % 40 + 5).alias("end"), F.concat(F.lit("/app/m"), F.col("p_size") % 5, F.lit(".ts")).alias("path"), F.col("p_brand").alias("exception"))
+    throws = scan(spark, d, "lineitem").select(n.alias("unit"), (F.col("l_partkey") * 7).alias("start"), (F.col("l_partkey") * 7 + 5).alias("end"), F.concat(F.lit("m"), n % 5, F.lit(".ts")).alias("file"))
+    callees = scan(spark, d, "part").select((F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + 5).alias("end"), F.concat(F.lit("/app/m"), F.col("p_size") % 5, F.lit(".ts")).alias("path"), F.col("p_brand").alias("exception"))
     return resolution.rethrows(throws, callees)
 
 
@@ -39,7 +39,7 @@ def phase_times(spark, d):
 
 def consumer_contract(spark, d):
     reads = p.consumers(spark, d).select("boundary_key", "consumer", F.when(F.col("consumer") % 4 != 0, 200 + (F.col("consumer") % 3) * 2).cast("int").alias("status"), F.concat(F.lit("b"), F.col("consumer") % 7).alias("field"))
-    n = scan(spark, d, "supplier").where("s_suppkey < 60")
+    n = scan(spark, d, "supplier")
     declared = n.select(p.nation_key(F.col("s_nationkey")).alias("boundary_key"), (200 + F.col("s_suppkey") % 5).cast("int").alias("status"), F.col("s_suppkey").alias("ord"), F.when(F.col("s_suppkey") % 9 != 0, F.transform(F.sequence(F.lit(0), F.col("s_suppkey") % 6), lambda i: F.concat(F.lit("b"), i))).alias("fields"))
     return resolution.declared_reads(reads, declared)
 
@@ -60,7 +60,7 @@ WITH c AS (SELECT o_orderkey AS call, CASE WHEN o_custkey % 2 = 0 THEN 'svc.' EL
 u AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'svc.' ELSE '' END || 'f' || CAST(s_suppkey % 50 AS VARCHAR) AS name, min(s_suppkey) AS unit FROM supplier GROUP BY 1)
 SELECT call, callee, coalesce(a.unit, b.unit) AS unit FROM c LEFT JOIN u a ON a.name = callee LEFT JOIN u b ON b.name = replace(callee, 'svc.', '')""",
     "rethrow_enrichment": """
-SELECT DISTINCT l_suppkey AS unit, p_brand AS exception FROM lineitem JOIN part ON l_partkey % 40 = p_partkey % 40 AND p_size % 5 = l_suppkey % 5 WHERE l_linenumber = 2 AND p_partkey < 400""",
+SELECT DISTINCT l_suppkey AS unit, p_brand AS exception FROM lineitem JOIN part ON l_partkey = p_partkey AND p_size % 5 = l_suppkey % 5""",
     "spawned_sub_units": """
 WITH a AS (SELECT user_id AS parent, event_type AS via, event_id AS pos, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 0),
 b AS (SELECT user_id AS parent, event_type AS via, event_id AS sub_unit, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 1)
@@ -68,7 +68,7 @@ SELECT parent, via, pos, sub_unit FROM a JOIN b USING (parent, via, k)""",
     "phase_times": "SELECT l_returnflag || '-' || l_linestatus AS label, CAST(sum(l_linenumber) AS BIGINT) AS total_ms, count(*) AS n FROM lineitem GROUP BY 1",
     "consumer_contract": """
 WITH r AS (SELECT 'GET /nations/' || CAST(c_nationkey AS VARCHAR) || '/{id}' AS boundary_key, c_custkey AS consumer, CASE WHEN c_custkey % 4 <> 0 THEN 200 + (c_custkey % 3) * 2 END AS status, c_custkey % 7 AS f FROM customer),
-d AS (SELECT 'GET /nations/' || CAST(s_nationkey AS VARCHAR) || '/{id}' AS boundary_key, 200 + s_suppkey % 5 AS status, max(s_suppkey) AS s FROM supplier WHERE s_suppkey < 60 GROUP BY 1, 2)
+d AS (SELECT 'GET /nations/' || CAST(s_nationkey AS VARCHAR) || '/{id}' AS boundary_key, 200 + s_suppkey % 5 AS status, max(s_suppkey) AS s FROM supplier GROUP BY 1, 2)
 SELECT DISTINCT r.boundary_key, consumer, d.status, 'b' || CAST(f AS VARCHAR) AS field FROM r JOIN d ON r.boundary_key = d.boundary_key AND (r.status IS NULL OR r.status = d.status) WHERE s % 9 <> 0 AND f > s % 6""",
     "unit_labels": """
 WITH u AS (SELECT p_partkey AS unit, CASE WHEN p_partkey % 10 = 0 THEN 'loader' ELSE 'u' || CAST(p_partkey % 900 AS VARCHAR) END AS name, p_brand AS brand FROM part), s AS (SELECT name, count(DISTINCT brand) > 1 AS several FROM u GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, lattice, shapes
-from ..operators import findings, pairing
+from ..operators import findings
 from ..sources import contracts
 from ..sources import projection as p
 from ..sources.projection import scan
@@ -34,10 +34,7 @@ def predicate_match(spark, d):
     part = scan(spark, d, "part")
     pred = F.to_json(F.struct(F.lit("comparison").alias("type"), F.col("p_type").alias("left"), (F.col("p_size") % 4).alias("right")))
     rows = part.select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_partkey").alias("part"), pred.alias("pred"), (F.col("p_partkey") % 17 == 0).alias("opaque"))
-    other = rows.select("brand", "size", F.col("part").alias("other"), F.col("pred").alias("other_pred"), F.col("opaque").alias("other_opaque"))
-    both = rows.join(other, ["brand", "size"]).where("part < other")
-    verdict = lattice.structural(F.col("pred"), F.col("other_pred"), F.col("opaque") | F.col("other_opaque"))
-    return both.groupBy("brand").agg(lattice.name(lattice.all_of(verdict)).alias("all_of"), lattice.name(lattice.any_of(verdict)).alias("any_of"), F.count("*").alias("n_pairs"))
+    return lattice.pairwise(rows, ["brand", "size"]).groupBy("brand").agg(lattice.name(lattice.all_of(F.col("least"))).alias("all_of"), lattice.name(lattice.any_of(F.col("most"))).alias("any_of"), F.sum("n_pairs").alias("n_pairs"))
 
 
 def _shape(flags, optional=None):
@@ -60,8 +57,17 @@ def _bodies(spark, d):
     return scan(spark, d, "part").select(n.alias("part"), actual.alias("actual"), spread.alias("declared"))
 
 
+def _odd_bodies(spark, d):
+    """Records against dictionaries, and wider values against literals."""
+    n = F.col("p_partkey")
+    price = F.when(n % 4 == 0, F.lit('{"type":"text"}')).when(n % 4 == 1, F.lit('{"type":"literal","value":2.0}')).otherwise(F.lit('{"type":"integer"}'))
+    actual = F.when(n % 2 == 0, F.concat(F.lit('{"type":"record","properties":{"a":{"type":"integer"},"b":'), price, F.lit("}"), F.when(n % 5 == 0, F.lit(',"spreads":["rest"]')).otherwise(""), F.lit("}"))).otherwise(price)
+    declared = F.when(n % 2 == 0, F.lit('{"type":"dictionary","values":{"type":"integer"}}')).when(n % 3 == 0, F.lit('{"type":"literal","value":2}')).otherwise(F.lit('{"type":"integer"}'))
+    return scan(spark, d, "part").select((-n).alias("part"), actual.alias("actual"), declared.alias("declared"))
+
+
 def body_match(spark, d):
-    return _bodies(spark, d).select("part", lattice.name(shapes.shape_match("actual", "declared")).alias("verdict"))
+    return _bodies(spark, d).unionByName(_odd_bodies(spark, d)).select("part", lattice.name(shapes.shape_match("actual", "declared")).alias("verdict"))
 
 
 def body_compatibility(spark, d):
@@ -85,11 +91,14 @@ def dedupe_findings(spark, d):
     return out.select("seq", "kind", "boundary", "description", "severity", F.array_join("sources", ",").alias("sources"), "n_merged")
 
 
-RULES = [(1, None, "GET /nations/3/{id}", "hide"), (2, "unhandledProviderCase", "GET /nations/4/{id}", "downgrade"), (3, None, "GET /nations/5/{id}", "mark"), (4, "lowConfidence", None, "hide"), (5, "unhandledProviderCase", "_noboundary_", "mark"), (6, None, "GET /nations/5/{id}", "hide")]
+#: Rules as people write them: ord, kind, boundary, consumer, transition, effect.
+RULES = [(1, None, "get /Nations/3/:id/", None, None, "hide"), (2, "unhandledProviderCase", "GET /nations/4/{id}", "c", None, "downgrade"), (3, None, "GET /nations/5/:id", None, "t", "mark"), (4, "lowConfidence", None, None, None, "hide"), (5, "unhandledProviderCase", "_noboundary_", None, None, "mark"), (6, None, "GET /nations/5/{id}", None, None, "hide"), (7, None, "GET /nations/6/{id}", "another", None, "hide"), (8, None, None, None, None, "hide")]
+#: The boundaries that they mean, for the SQL twin.
+MEANT = {1: "GET /nations/3/{id}", 2: "GET /nations/4/{id}", 3: "GET /nations/5/{id}", 5: "_NOBOUNDARY_", 6: "GET /nations/5/{id}", 7: "GET /nations/6/{id}"}
 
 
 def _suppressed(spark, d):
-    rules = spark.createDataFrame(RULES, "ord int, kind string, boundary string, effect string")
+    rules = spark.createDataFrame(RULES, "ord int, kind string, boundary string, consumer string, transition string, effect string")
     return findings.suppress(findings.dedupe(_raw_findings(spark, d)), rules)
 
 
@@ -145,14 +154,14 @@ def interaction_index(spark, d):
 
 def wrapper_expansion(spark, d):
     """Wrappers without a path of their own, one summary for each caller with a literal path."""
-    wrappers = scan(spark, d, "supplier").where("s_suppkey % 6 = 0").select(F.col("s_suppkey").alias("wrapper"))
-    calls = scan(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("wrapper"), F.concat(F.lit("/Orders/"), F.col("l_orderkey") % 100, F.lit("/")).alias("path"))
+    wrappers = scan(spark, d, "supplier").select(F.col("s_suppkey").alias("wrapper"))
+    calls = scan(spark, d, "lineitem").select(F.col("l_suppkey").alias("wrapper"), F.concat(F.lit("/Orders/"), F.col("l_orderkey") % 100, F.lit("/")).alias("path"))
     return calls.join(wrappers, "wrapper").select("wrapper", keys.rest_key(F.lit("get"), F.col("path")).alias("boundary_key")).groupBy("wrapper", "boundary_key").agg(F.count("*").alias("n_callers"))
 
 
 def boundary_counts(spark, d):
-    """Pairs of a boundary, which directory reports list."""
-    return pairing.pairs(p.providers(spark, d), p.consumers(spark, d)).groupBy("boundary_key").agg(F.count_distinct("provider").alias("providers"), F.count_distinct("consumer").alias("consumers"))
+    """Sides of paired boundaries, which directory reports list; each side is counted by itself."""
+    return p.providers(spark, d).groupBy("boundary_key").agg(F.count_distinct("provider").alias("providers")).join(p.consumers(spark, d).groupBy("boundary_key").agg(F.count_distinct("consumer").alias("consumers")), "boundary_key")
 
 
 def queue_channels(spark, d):
@@ -178,8 +187,9 @@ merged AS (SELECT min(seq) AS seq, kind, boundary, arg_min(description, seq) AS
 """
 SEV = "CASE {} WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END"
 SUPPRESSED = RAW + f"""
-, rules(ord, kind, boundary, effect) AS (VALUES {', '.join('(' + ', '.join('CAST(NULL AS VARCHAR)' if x is None else repr(x) for x in r) + ')' for r in RULES)}),
-hit AS (SELECT seq, arg_min(effect, ord) AS effect FROM merged m JOIN rules r ON (r.kind IS NULL OR r.kind = m.kind) AND (r.boundary IS NULL OR r.boundary = m.boundary) GROUP BY seq),
+, rules(ord, kind, boundary, consumer, transition, effect) AS (VALUES {', '.join('(' + ', '.join('CAST(NULL AS VARCHAR)' if x is None else repr(x) for x in (r[0], r[1], MEANT.get(r[0]), *r[3:])) + ')' for r in RULES)}),
+hit AS (SELECT seq, arg_min(effect, ord) AS effect FROM merged m JOIN rules r ON (r.kind IS NULL OR r.kind = m.kind) AND (r.boundary IS NULL OR r.boundary = m.boundary AND m.boundary <> '_noboundary_') AND (r.consumer IS NULL OR r.consumer = 'c') AND (r.transition IS NULL OR r.transition = 't')
+AND coalesce(r.kind, r.boundary, r.consumer, r.transition) IS NOT NULL GROUP BY seq),
 sup AS (SELECT m.seq, m.boundary, {SEV.format("CASE WHEN effect = 'downgrade' THEN least(rank + 1, 2) ELSE rank END")} AS severity, effect, effect IS NULL OR effect = 'downgrade' AS counts FROM merged m LEFT JOIN hit USING (seq) WHERE effect IS NULL OR effect <> 'hide')
 """
 
@@ -198,7 +208,8 @@ v AS (SELECT a.brand, CASE WHEN a.opaque OR b.opaque THEN 1 WHEN a.pred = b.pred
 SELECT brand, CASE min(v) WHEN 0 THEN 'nomatch' WHEN 1 THEN 'unknown' ELSE 'match' END AS all_of, CASE max(v) WHEN 0 THEN 'nomatch' WHEN 1 THEN 'unknown' ELSE 'match' END AS any_of, count(*) AS n_pairs FROM v GROUP BY 1""",
     "body_match": """
 WITH x AS (SELECT p_partkey AS n FROM part), f AS (SELECT n, n % 2 <> 0 AS a_name, n % 3 <> 0 AS a_price, n % 4 <> 0 AS a_size, n % 5 <> 0 AS d_name, n % 7 <> 0 AS d_price, n % 3 = 0 AS d_size FROM x)
-SELECT n AS part, CASE WHEN n % 11 = 0 THEN 'unknown' WHEN d_name AND NOT a_name OR d_price AND NOT a_price OR d_size THEN 'nomatch' ELSE 'match' END AS verdict FROM f""",
+SELECT n AS part, CASE WHEN n % 11 = 0 THEN 'unknown' WHEN d_name AND NOT a_name OR d_price AND NOT a_price OR d_size THEN 'nomatch' ELSE 'match' END AS verdict FROM f
+UNION ALL SELECT -n, CASE WHEN n % 2 = 0 THEN CASE WHEN n % 5 = 0 THEN 'unknown' WHEN n % 4 = 0 THEN 'nomatch' ELSE 'match' END WHEN n % 3 = 0 THEN CASE WHEN n % 4 = 1 THEN 'match' ELSE 'nomatch' END ELSE 'match' END FROM x""",
     "body_compatibility": """
 WITH x AS (SELECT p_partkey AS n FROM part), f AS (SELECT n, n % 2 <> 0 AS a_name, n % 3 <> 0 AS a_price, n % 4 <> 0 AS a_size, n % 5 <> 0 AS d_name, n % 7 <> 0 AS d_price, n % 3 = 0 AS d_size FROM x)
 SELECT n AS part, CASE WHEN n % 11 = 0 THEN 'match' WHEN d_name AND NOT a_name OR d_price AND NOT a_price OR d_size AND NOT a_size THEN 'nomatch' ELSE 'match' END AS verdict, CASE WHEN n % 11 <> 0 AND d_size AND a_size THEN 'size' ELSE '' END AS optional_reads FROM f""",
@@ -224,7 +235,7 @@ SELECT place, name, ord, schema FROM (SELECT p_brand AS place, p_size % 20 AS na
     "interaction_index": """
 SELECT CASE event_type WHEN 'view' THEN 'storage-access' WHEN 'click' THEN 'message-send' WHEN 'purchase' THEN 'message-receive' ELSE 'config-read' END AS class, user_id % 4 AS semantics, count(*) AS n, count(DISTINCT user_id) AS n_callers FROM events GROUP BY 1, 2""",
     "wrapper_expansion": """
-SELECT l_suppkey AS wrapper, 'GET /orders/' || CAST(l_orderkey % 100 AS VARCHAR) AS boundary_key, count(*) AS n_callers FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 6 = 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2""",
+SELECT l_suppkey AS wrapper, 'GET /orders/' || CAST(l_orderkey % 100 AS VARCHAR) AS boundary_key, count(*) AS n_callers FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2""",
     "boundary_counts": BASE + "SELECT boundary_key, count(DISTINCT provider) AS providers, count(DISTINCT consumer) AS consumers FROM providers JOIN consumers USING (boundary_key) GROUP BY 1",
     "queue_channels": "SELECT s_suppkey AS supplier, 'Queue' || CAST(s_suppkey AS VARCHAR) AS channel FROM supplier",
     "status_codes": """

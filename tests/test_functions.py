@@ -46,8 +46,10 @@ lit = lambda v: {"type": "literal", "value": v}
         ({"type": "ref", "name": "A"}, {"type": "ref", "name": "A"}, 2), ({"type": "ref", "name": "A"}, T["text"], 1), (union(T["text"], T["null"]), T["text"], 0),
         (T["text"], union(T["text"], T["null"]), 2), (rec(a=T["text"], b=T["text"]), rec(a=T["text"]), 2), (rec(a=T["text"]), rec(a=T["text"], b=T["text"]), 0),
         (rec(a=T["text"]), rec(a=T["text"], b=union(T["text"], T["undefined"])), 2), (rec(True, a=T["text"]), rec(b=T["text"]), 1), (lit("x"), T["text"], 2), (lit(1), T["number"], 2),
-        (lit(True), T["number"], 0), (T["text"], lit("x"), 1), (lit("x"), lit("y"), 0), ({"type": "array", "items": T["integer"]}, {"type": "array", "items": T["number"]}, 2),
+        (lit(True), T["number"], 0), (T["text"], lit("x"), 0), (lit("x"), lit("y"), 0), (lit(2.0), T["integer"], 2), (lit(2.5), T["integer"], 0), (lit(1), lit(1.0), 2), (lit(1), lit(True), 0), (lit(None), T["null"], 0), ({"type": "array", "items": T["integer"]}, {"type": "array", "items": T["number"]}, 2),
         ({"type": "dictionary", "values": T["text"]}, {"type": "dictionary", "values": T["number"]}, 0), (rec(a=T["unknown"], b=T["text"]), rec(a=T["text"], b=T["number"]), 0),
+        (rec(a=T["text"], b=lit("x")), {"type": "dictionary", "values": T["text"]}, 2), (rec(a=T["text"], b=T["null"]), {"type": "dictionary", "values": T["text"]}, 0), (rec(True, a=T["null"]), {"type": "dictionary", "values": T["text"]}, 1),
+        (rec(), {"type": "dictionary", "values": T["text"]}, 2), ({"type": "dictionary", "values": T["text"]}, rec(a=T["text"]), 1), ({"type": "dictionary", "values": T["text"]}, T["text"], 0), (T["text"], {"type": "dictionary", "values": T["text"]}, 0),
     ],
 )
 def test_match(actual, declared, want):

@@ -82,6 +82,12 @@ def test_suppressions_first_rule_wins(spark):
     assert findings.meets_threshold(findings.suppress(f, r), "warning") and not findings.meets_threshold(findings.suppress(f, r), "error") and not findings.meets_threshold(findings.suppress(f, r), "none")
 
 
+def test_rules_are_normalised_and_may_name_the_consumer(spark):
+    f = spark.createDataFrame([(1, "k", "GET /users/{id}", "c::one", "t1", "error"), (2, "k", "GET /users/{id}", "c::two", "t2", "error"), (3, "k", "_noboundary_", "c::one", "t1", "error"), (4, "k", None, "c::three", None, "error")], "seq int, kind string, boundary string, consumer string, transition string, severity string")
+    r = spark.createDataFrame([(1, None, "get /Users/:id/", "c::one", None, "hide"), (2, None, "_noboundary_", None, None, "hide"), (3, None, None, None, "t2", "downgrade"), (4, "k", None, "c::three", "t9", "hide"), (5, None, None, None, None, "hide")], "ord int, kind string, boundary string, consumer string, transition string, effect string")
+    assert rows(findings.suppress(f, r), "seq", "severity") == [(2, "warning"), (3, "error"), (4, "error")]
+
+
 def test_diff_and_churn(spark):
     b, a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string"), spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, "n")], "k int, v string")
     assert rows(findings.diff(b, a, ["k"], "v"), "k", "change") == [(2, "changed"), (4, "added")]

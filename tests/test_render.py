@@ -14,10 +14,20 @@ def test_bodies_and_outputs():
     assert render.output_text(response(200, *"abcdef")) == "200 { a, b, c, d, ... }"
     assert render.output_text({"type": "response", "statusCode": None, "body": None}) == "???"
     assert render.output_text({"type": "throw", "exceptionType": None}) == "throw Error"
-    assert render.output_text({"type": "return", "value": {"type": "array", "items": {"type": "ref", "name": "User"}}}) == "return User[]"
+    assert render.output_text({"type": "return", "value": {"type": "array", "items": {"type": "ref", "name": "User"}}}) == "return [User]"
     assert render.output_text({"type": "void"}) == "void"
 
 
+def test_shapes_without_keys():
+    shape = lambda t, **more: {"type": t, **more}
+    named = {"text": "string", "integer": "int", "number": "number", "boolean": "bool", "null": "null", "undefined": "undefined", "unknown": "any"}
+    assert {k: render.body_text(shape(k)) for k in named} == named
+    assert render.body_text(shape("array", items=shape("unknown"))) == "[any]"
+    assert render.body_text(shape("dictionary", values=shape("integer"))) == "{ [key]: int }"
+    assert render.body_text(shape("union", variants=[shape("text"), shape("literal", value="é")])) == 'string | "é"'
+    assert render.body_text(None) == ""
+
+
 def test_tree(spark):
     t = [{"conditions": [NOT], "output": response(404)}, {"conditions": [TRUTH, NOT], "output": response(500)}, {"conditions": [TRUTH], "output": response(200)}, {"conditions": [NOT], "output": response(410)}]
     df = spark.createDataFrame([("a", json.dumps(t)), ("b", None)], "summary string, transitions string")
