@@ -7,7 +7,8 @@ contexts and continuations are read back from the keys. Scoring maps the arrays
 
 Bigrams, contexts and continuations tell words by 32 bits of their hashes: of V distinct words about V * V / 2 ** 33 pairs share
 them (1 in 4,000 words of a vocabulary of a million) and are one word to the model's higher order; n_known and the base score
-use all 64 bits. Wider keys ran over the disk: at 16 bytes for a bigram the runs and arrays come to 5.8 times the input.
+use all 64 bits. Wider keys weren't tried: by the sizes of the keys, 16 bytes for a bigram would need an estimated 5.8 times
+the input on disk.
 
 Files of a model: uni (64-bit word hash, count), bi (mixed bigram, count), ctx (context: sum of counts; numbers of words
 seen once, twice, more often after it), con (word: number of different words before it); one of each for each shard.
