@@ -32,7 +32,7 @@ def consumer_satisfaction(spark, d):
 
 
 def pair_summaries(spark, d):
-    return pairing.pairing_report(p.providers(spark, d), p.consumers(spark, d).where("consumer % 2 = 0 or boundary_key not like '%/1/%'"))
+    return pairing.pairing_report(p.providers(spark, d), p.consumers(spark, d).withColumn("boundary_key", F.when((F.col("consumer") % 2 == 0) | ~F.col("boundary_key").like("%/1/%"), F.col("boundary_key"))))
 
 
 def contract_consistency(spark, d):
@@ -62,8 +62,8 @@ def relational_storage(spark, d):
 def _runtimes(spark, d):
     docs = scan(spark, d, "documents").select("source", "lang", "doc_id")
     runtimes = docs.select("source").distinct().select(F.col("source").alias("runtime"), F.when(~F.col("source").endswith("7"), F.concat(F.lit("app/"), "source", F.lit("/"))).alias("scope"))
-    provided = docs.where("doc_id % 7 = 0").select(F.col("source").alias("runtime"), F.concat(F.lit("VAR_"), F.upper("lang"), F.col("doc_id") % 4).alias("variable"), (F.col("lang") == "de").alias("platform")).distinct()
-    reads = docs.where("doc_id % 5 = 0").select(F.concat(F.lit("app/"), "source", F.lit("/"), "lang", F.lit("/x.ts")).alias("file"), F.concat(F.lit("VAR_"), F.upper("lang"), F.col("doc_id") % 4).alias("variable"))
+    provided = docs.select(F.col("source").alias("runtime"), F.concat(F.lit("VAR_"), F.upper("lang"), F.col("doc_id") % 7).alias("variable"), (F.col("lang") == "de").alias("platform")).distinct()
+    reads = docs.select(F.concat(F.lit("app/"), "source", F.lit("/"), "lang", F.lit("/x.ts")).alias("file"), F.concat(F.lit("VAR_"), F.upper("lang"), F.col("doc_id") % 5 + 4).alias("variable"))
     return runtimes, provided, reads
 
 
@@ -79,8 +79,11 @@ def runtime_for_file(spark, d):
 
 
 def _channels(spark, d):
+    """Every event stands in all three: by its user it is sent, received, both or only queued; what it isn't has a null channel."""
     e = scan(spark, d, "events").select(F.concat("event_type", F.lit("-"), F.col("user_id") % 50).alias("channel"), "user_id", "event_id", "event_type")
-    return e.where("user_id % 3 = 0 and event_id % 11 = 0"), e.where("user_id % 3 = 1 and event_id % 7 = 0"), e
+    part = F.col("user_id") % 5
+    only = lambda *parts: e.withColumn("channel", F.when(part.isin(*parts), F.col("channel")))
+    return only(0, 3, 4), only(1, 3, 4), e
 
 
 def message_bus(spark, d):
@@ -97,7 +100,7 @@ def component_stories(spark, d):
     part = scan(spark, d, "part")
     inputs = F.transform(F.sequence(F.lit(1), F.col("p_size") % 6 + 1), lambda i: F.concat(F.lit("in"), i))
     components = part.select(F.col("p_brand").alias("component"), F.col("p_partkey").alias("ord"), inputs.alias("inputs"), F.slice(inputs, 1, 3).alias("gating"))
-    stories = part.where("p_partkey % 40 = 0").select(F.col("p_brand").alias("component"), F.col("p_partkey").alias("story"), F.concat(F.lit("in"), F.col("p_size") % 8).alias("arg")).withColumn("story", F.col("story").cast("string"))
+    stories = part.select(F.col("p_brand").alias("component"), F.col("p_partkey").alias("story"), F.concat(F.lit("in"), F.col("p_size") % 4 * 2).alias("arg")).withColumn("story", F.col("story").cast("string"))
     return boundaries.component_stories(components, stories)
 
 
@@ -110,7 +113,7 @@ def graphql_pairing(spark, d):
 
 def graphql_nested(spark, d):
     nation = scan(spark, d, "nation")
-    fields = nation.where("n_nationkey % 4 != 3").select(F.concat(F.lit("R"), "n_regionkey").alias("type_name"), F.concat(F.lit("n"), F.col("n_nationkey") % 10).alias("field_name"), F.concat(F.lit("R"), (F.col("n_regionkey") + 1) % 6).alias("target"))
+    fields = nation.select(F.concat(F.lit("R"), "n_regionkey").alias("type_name"), F.concat(F.when(F.col("n_nationkey") % 4 == 3, "other").otherwise("n"), F.col("n_nationkey") % 10).alias("field_name"), F.concat(F.lit("R"), (F.col("n_regionkey") + 1) % 6).alias("target"))
     fields = fields.groupBy("type_name", "field_name").agg(F.min("target").alias("target"))
     c = scan(spark, d, "customer")
     roots = c.select(F.col("c_custkey").alias("operation"), F.lit(0).alias("node"), F.concat(F.lit("R"), F.col("c_nationkey") % 5).alias("type_name"))
@@ -122,12 +125,12 @@ QUERIES = {f.__name__: f for f in (provider_coverage, consumer_satisfaction, pai
 
 RUNTIMES = """
 WITH runtimes AS (SELECT DISTINCT source AS runtime, CASE WHEN source NOT LIKE '%7' THEN 'app/' || source || '/' END AS scope FROM documents),
-provided AS (SELECT DISTINCT source AS runtime, 'VAR_' || upper(lang) || CAST(doc_id % 4 AS VARCHAR) AS variable, lang = 'de' AS platform FROM documents WHERE doc_id % 7 = 0),
-reads AS (SELECT 'app/' || source || '/' || lang || '/x.ts' AS file, 'VAR_' || upper(lang) || CAST(doc_id % 4 AS VARCHAR) AS variable FROM documents WHERE doc_id % 5 = 0)
+provided AS (SELECT DISTINCT source AS runtime, 'VAR_' || upper(lang) || CAST(doc_id % 7 AS VARCHAR) AS variable, lang = 'de' AS platform FROM documents),
+reads AS (SELECT 'app/' || source || '/' || lang || '/x.ts' AS file, 'VAR_' || upper(lang) || CAST(doc_id % 5 + 4 AS VARCHAR) AS variable FROM documents)
 """
 CHANNELS = """
 WITH e AS (SELECT event_type || '-' || CAST(user_id % 50 AS VARCHAR) AS channel, user_id, event_id, event_type FROM events),
-sent AS (SELECT * FROM e WHERE user_id % 3 = 0 AND event_id % 11 = 0), received AS (SELECT * FROM e WHERE user_id % 3 = 1 AND event_id % 7 = 0)
+sent AS (SELECT * FROM e WHERE user_id % 5 IN (0, 3, 4)), received AS (SELECT * FROM e WHERE user_id % 5 IN (1, 3, 4))
 """
 
 ORACLE = {
@@ -142,7 +145,7 @@ SELECT c.boundary_key, c.consumer, cs.status, CASE WHEN own.unclear THEN 'lowCon
 FROM consumers c JOIN cs USING (consumer) JOIN own ON own.boundary_key = c.boundary_key
 WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.provider = own.provider AND ps.status = cs.status) GROUP BY ALL""",
     "pair_summaries": BASE + """
-, p AS (SELECT boundary_key, count(*) AS n FROM providers GROUP BY 1), c AS (SELECT boundary_key, count(*) AS n FROM consumers WHERE consumer % 2 = 0 OR boundary_key NOT LIKE '%/1/%' GROUP BY 1),
+, p AS (SELECT boundary_key, count(*) AS n FROM providers GROUP BY 1), c AS (SELECT CASE WHEN consumer % 2 = 0 OR boundary_key NOT LIKE '%/1/%' THEN boundary_key END AS boundary_key, count(*) AS n FROM consumers GROUP BY 1),
 k AS (SELECT boundary_key FROM p UNION SELECT boundary_key FROM c)
 SELECT k.boundary_key, CAST(coalesce(p.n, 0) AS BIGINT) AS n_providers, CAST(coalesce(c.n, 0) AS BIGINT) AS n_consumers,
 CASE WHEN k.boundary_key IS NULL THEN 'no_binding' WHEN p.n IS NULL THEN 'unmatched_consumers' WHEN c.n IS NULL THEN 'unmatched_providers' ELSE 'paired' END AS state,
@@ -166,8 +169,8 @@ SELECT unit, status, t_ord, literal FROM t a WHERE literal IS NOT NULL
 AND EXISTS (SELECT 1 FROM t b WHERE b.unit = a.unit AND b.status = a.status AND (b.literal IS NULL OR b.literal <> a.literal))
 AND NOT EXISTS (SELECT 1 FROM tests x WHERE x.unit = a.unit AND x.literal = a.literal)""",
     "relational_storage": """
-WITH a AS (SELECT event_type AS tbl, CASE WHEN event_id % 500 = 499 THEN '*' ELSE 'f' || CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) % 20 AS VARCHAR) END AS field,
- CASE WHEN event_id % 2 = 0 AND TRY_CAST(json_extract_string(props, '$.k') AS INT) % 3 <> 0 THEN 'read' ELSE 'write' END AS mode FROM events WHERE event_type <> 'click' OR event_id % 500 <> 499),
+WITH a AS (SELECT event_type AS tbl, CASE WHEN event_id % 500 = 499 AND event_type <> 'click' THEN '*' ELSE 'f' || CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) % 20 AS VARCHAR) END AS field,
+ CASE WHEN event_id % 2 = 0 AND TRY_CAST(json_extract_string(props, '$.k') AS INT) % 3 <> 0 THEN 'read' ELSE 'write' END AS mode FROM events),
 d AS (SELECT tbl, 'f' || CAST(i AS VARCHAR) AS field FROM (SELECT DISTINCT event_type AS tbl FROM events WHERE event_type <> 'error'), range(25) r(i))
 SELECT DISTINCT tbl, field, 'boundaryFieldUnknown' AS kind, 'error' AS severity, mode AS aspect FROM a WHERE field <> '*' AND tbl IN (SELECT tbl FROM d) AND (tbl, field) NOT IN (SELECT tbl, field FROM d)
 UNION ALL SELECT tbl, field, 'boundaryFieldUnused', 'warning', CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.tbl = d.tbl AND a.field IN (d.field, '*') AND mode = 'write') THEN 'write-only' ELSE 'unused' END
@@ -188,7 +191,7 @@ UNION ALL SELECT DISTINCT channel, 'messageBusUnused', 'warning' FROM e WHERE ch
 , s AS (SELECT channel, 'b' || CAST(event_id % 6 AS VARCHAR) AS field FROM sent WHERE event_type <> 'click'), r AS (SELECT DISTINCT channel, 'b' || CAST(event_id % 9 AS VARCHAR) AS field FROM received)
 SELECT channel, field FROM r WHERE channel IN (SELECT channel FROM s) AND (channel, field) NOT IN (SELECT channel, field FROM s)""",
     "component_stories": """
-WITH c AS (SELECT p_brand AS component, arg_max(p_size, p_partkey) % 6 + 1 AS n FROM part GROUP BY 1), st AS (SELECT p_brand AS component, CAST(p_partkey AS VARCHAR) AS story, 'in' || CAST(p_size % 8 AS VARCHAR) AS arg FROM part WHERE p_partkey % 40 = 0),
+WITH c AS (SELECT p_brand AS component, arg_max(p_size, p_partkey) % 6 + 1 AS n FROM part GROUP BY 1), st AS (SELECT p_brand AS component, CAST(p_partkey AS VARCHAR) AS story, 'in' || CAST(p_size % 4 * 2 AS VARCHAR) AS arg FROM part),
 i AS (SELECT component, x, 'in' || CAST(x AS VARCHAR) AS inp FROM c, range(1, 7) r(x) WHERE x <= n)
 SELECT component, story, arg, 'boundaryFieldUnknown' AS kind FROM st JOIN c USING (component) WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.component = st.component AND i.inp = st.arg)
 UNION ALL SELECT component, NULL, inp, 'scenarioCoverageGap' FROM i WHERE x <= 3 AND component IN (SELECT component FROM st) AND NOT EXISTS (SELECT 1 FROM st WHERE st.component = i.component AND st.arg = i.inp)""",
@@ -197,7 +200,7 @@ WITH s AS (SELECT o_orderkey AS operation, CASE WHEN o_orderstatus = 'F' THEN 'M
 r AS (SELECT 'Query' AS type_name, 'field' || CAST(s_suppkey % 24 AS VARCHAR) AS field_name, count(*) AS n FROM supplier GROUP BY ALL)
 SELECT operation, type_name, field_name, CAST(coalesce(n, 0) AS BIGINT) AS n_resolvers, n IS NULL AS unmatched FROM s LEFT JOIN r USING (type_name, field_name)""",
     "graphql_nested": """
-WITH RECURSIVE f AS (SELECT 'R' || CAST(n_regionkey AS VARCHAR) AS type_name, 'n' || CAST(n_nationkey % 10 AS VARCHAR) AS field_name, min('R' || CAST((n_regionkey + 1) % 6 AS VARCHAR)) AS target FROM nation WHERE n_nationkey % 4 <> 3 GROUP BY ALL),
+WITH RECURSIVE f AS (SELECT 'R' || CAST(n_regionkey AS VARCHAR) AS type_name, CASE WHEN n_nationkey % 4 = 3 THEN 'other' ELSE 'n' END || CAST(n_nationkey % 10 AS VARCHAR) AS field_name, min('R' || CAST((n_regionkey + 1) % 6 AS VARCHAR)) AS target FROM nation GROUP BY ALL),
 walk AS (SELECT c_custkey AS operation, c_nationkey AS nk, 0 AS node, CAST(NULL AS VARCHAR) AS parent_type, CAST(NULL AS VARCHAR) AS field_name, 'R' || CAST(c_nationkey % 5 AS VARCHAR) AS at_type FROM customer
  UNION ALL SELECT w.operation, w.nk, w.node + 1, w.at_type, 'n' || CAST((w.nk + w.node + 1) % 10 AS VARCHAR), f.target FROM walk w LEFT JOIN f ON f.type_name = w.at_type AND f.field_name = 'n' || CAST((w.nk + w.node + 1) % 10 AS VARCHAR) WHERE w.node < 3 AND w.at_type IN (SELECT type_name FROM f))
 SELECT operation, parent_type AS type_name, field_name FROM walk WHERE node > 0 AND at_type IS NULL""",

@@ -48,10 +48,10 @@ def declared_statuses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def accesses(spark: SparkSession, d: str) -> DataFrame:
-    """Events: the table is the type, the field comes from props.k, every 500th touches all columns; even ids read."""
+    """Events: the table is the type, the field comes from props.k, every 500th but clicks touches all columns; even ids read."""
     k = F.get_json_object("props", "$.k").try_cast("int")
-    field = F.when(F.col("event_id") % 500 == 499, "*").otherwise(F.concat(F.lit("f"), F.coalesce(k, F.lit(0)) % 20))
-    return scan(spark, d, "events").where("event_type != 'click' or event_id % 500 != 499").select(F.col("event_type").alias("tbl"), field.alias("field"), F.when((F.col("event_id") % 2 == 0) & (k % 3 != 0), "read").otherwise("write").alias("mode"))
+    field = F.when((F.col("event_id") % 500 == 499) & (F.col("event_type") != "click"), "*").otherwise(F.concat(F.lit("f"), F.coalesce(k, F.lit(0)) % 20))
+    return scan(spark, d, "events").select(F.col("event_type").alias("tbl"), field.alias("field"), F.when((F.col("event_id") % 2 == 0) & (k % 3 != 0), "read").otherwise("write").alias("mode"))
 
 
 def declared_columns(spark: SparkSession, d: str) -> DataFrame:
