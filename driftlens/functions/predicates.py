@@ -50,6 +50,25 @@ def statuses(p: dict, accessors: tuple[str, ...] = DEFAULT_STATUS) -> list[int]:
     return out
 
 
+def about_status(p: dict, accessors: tuple[str, ...] = DEFAULT_STATUS) -> bool:
+    """Whether a condition compares a status with something, negated or not."""
+    if p["type"] == "negation":
+        return about_status(p["operand"], accessors)
+    return p["type"] == "comparison" and any(last_step(p[side]) in accessors for side in ("left", "right"))
+
+
+def told_apart(own: list[dict], branches: list[dict], accessors: tuple[str, ...] = DEFAULT_STATUS) -> str:
+    """How a consumer's branches for a status tell a provider's path apart: not at all, by an equal condition, perhaps, or by others."""
+    theirs = [p for p in branches if not about_status(p, accessors)]
+    if not theirs:
+        return "not at all"
+    mine = [p for p in own if not about_status(p, accessors)]
+    clear = {json.dumps(p, sort_keys=True) for p in theirs if not unclear(p)}
+    if any(not unclear(p) and json.dumps(p, sort_keys=True) in clear for p in mine):
+        return "equal"
+    return "perhaps" if mine and (len(clear) == 0 or any(map(unclear, [*mine, *theirs]))) else "others"
+
+
 def refs(p: dict) -> Iterator[dict]:
     for key in ("left", "right", "subject"):
         if key in p:
@@ -137,6 +156,12 @@ def condition_statuses(conditions: pd.Series, accessors: pd.Series) -> pd.Series
     return pd.Series([[s for c in cs for s in statuses(_parsed(c), tuple(a))] for cs, a in zip(conditions, accessors, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def conditions_told_apart(own: pd.Series, branches: pd.Series, accessors: pd.Series) -> pd.Series:
+    """told_apart() of arrays of conditions."""
+    return pd.Series([told_apart([_parsed(x) for x in a], [_parsed(x) for x in b], tuple(names)) for a, b, names in zip(own, branches, accessors, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def condition_unclear(condition: pd.Series) -> pd.Series:
     return condition.map(lambda c: unclear(_parsed(c)))

@@ -136,3 +136,15 @@ def shape_covers(provider: pd.Series, consumer: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def shape_optional_reads(provider: pd.Series, consumer: pd.Series) -> pd.Series:
     return pd.Series([optional_reads(_parsed(a), _parsed(d)) for a, d in zip(provider, consumer, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def shape_of_body(shape: pd.Series, accessors: pd.Series) -> pd.Series:
+    """What a consumer reads of the body: the first property of a record that is named as a body, else the shape itself."""
+
+    def inner(text: str | None, names) -> str | None:
+        s = _parsed(text)
+        held = s.get("properties", {}) if s and s["type"] == "record" else {}
+        return next((json.dumps(held[n]) for n in names if n in held), text)
+
+    return pd.Series([inner(x, names) for x, names in zip(shape, accessors, strict=True)], dtype=object)

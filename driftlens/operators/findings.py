@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import collapsed, rule_boundary
+from ..session import checkpointed
 
 RANK = {"error": 0, "warning": 1, "info": 2}
 
@@ -98,26 +97,15 @@ def confidence(conditions: DataFrame) -> DataFrame:
     return n.select("unit", "total", "n_opaque", level.alias("level"))
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftlens-"))
-
-
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes that edges (src, dst) reach from seeds (node), with the least number of steps. Each round joins the frontier alone; checkpoints cut the lineage."""
-    _checkpoints(edges)
     edges = edges.select("src", "dst").where("src != dst").distinct()
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    seen = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while not frontier.isEmpty():
         depth += 1
         new = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = new.withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = checkpointed(new.withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 

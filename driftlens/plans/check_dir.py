@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lattice, shapes
-from ..operators import boundaries, findings, pairing
+from ..functions import lattice, predicates, shapes
+from ..operators import boundaries, findings, pairing, paths
+from ..session import checkpointed
 from ..sources import summaries as src
 
 COLUMNS = ["stage", "kind", "boundary_key", "description", "consumer", "transition", "provider", "severity"]
@@ -23,9 +24,22 @@ def _finding(df: DataFrame, stage: int, description, **given) -> DataFrame:
     return df.withColumn("description", description).withColumn("stage", F.lit(stage)).select(*(F.col(c).cast("string") if c != "stage" else F.col(c) for c in COLUMNS))
 
 
+def _stories(summaries: DataFrame) -> DataFrame:
+    """Findings of component_stories(): components are those without a story's metadata, gating inputs those that conditions test."""
+    story = F.get_json_object("metadata", "$.component.storybook")
+    named = F.expr("transform(filter(inputs, x -> get_json_object(x, '$.type') = 'parameter'), x -> get_json_object(x, '$.name'))")
+    components = summaries.where((F.col("kind") == "component") & story.isNull()).select("summary", F.col("identity.name").alias("component"), F.struct("src", "place").alias("ord"), F.coalesce(named, F.array().cast("array<string>")).alias("inputs"), "transitions")
+    tested = components.select("summary", "ord", F.explode("transitions.conditions").alias("conditions")).select("summary", "ord", F.explode("conditions").alias("condition")).select("summary", "ord", predicates.condition_inputs("condition").alias("gating"))
+    gates = tested.groupBy("summary", "ord").agg(F.array_distinct(F.flatten(F.collect_list("gating"))).alias("gating"))  # one summary's
+    components = components.drop("transitions").join(gates, ["summary", "ord"], "left").withColumn("gating", F.coalesce("gating", F.array().cast("array<string>")))
+    args = F.map_keys(F.from_json(F.get_json_object(story, "$.args"), "map<string,string>"))
+    stories = summaries.where(story.isNotNull()).select(F.get_json_object(story, "$.component").alias("component"), F.col("summary").alias("story"), F.explode_outer(args).alias("arg")).where("component is not null")
+    return boundaries.component_stories(components, stories)
+
+
 def check_all(summaries: DataFrame) -> DataFrame:
     """Every finding of every check, numbered by stage and content, before merging."""
-    t = src.transitions(summaries).cache()
+    t = checkpointed(src.transitions(summaries))
     p, c = t.where("role = 'provider' and boundary_key is not null"), t.where("role = 'consumer' and boundary_key is not null")
     providers = p.select("boundary_key", F.col("summary").alias("provider")).distinct()
     made = p.select(F.col("summary").alias("provider"), "status", "opaque").where("status is not null or opaque").distinct()
@@ -39,13 +53,19 @@ def check_all(summaries: DataFrame) -> DataFrame:
     out.append(_finding(pairing.contract_consistency(declared, consumers, asked), 3, F.when(F.col("reason") == "unhandled", say("Declared status without a handler:")).otherwise(say("Handled status that is not declared:"))))
     bodies = p.where("status is not null and body is not null").join(declared.where("declared_body is not null"), ["boundary_key", "status"]).withColumn("verdict", shapes.shape_match("body", "declared_body"))
     out.append(_finding(bodies.where(F.col("verdict") == lattice.NOMATCH), 3, say("Body does not match the declared one at status"), kind=F.lit("providerContractViolation"), severity=F.lit("error"), provider=F.col("summary")))
-    reads = c.where("expected_input is not null").select("boundary_key", F.col("summary").alias("consumer"), "transition", F.explode("asks").alias("status"), "expected_input")
-    fields = reads.join(p.where("body is not null").select("boundary_key", "status", "body", F.col("summary").alias("provider")), ["boundary_key", "status"]).withColumn("verdict", shapes.shape_covers("body", "expected_input"))
-    out.append(_finding(fields.where(F.col("verdict") == lattice.NOMATCH), 4, say("Consumer reads a field that the body lacks at status"), kind=F.lit("unhandledProviderCase"), severity=F.lit("error")))
+    responses = F.from_json(F.get_json_object("metadata", "$.http.declaredContract.responses"), "array<struct<statusCode:int,body:string>>")
+    sources = summaries.where("boundary_key is not null").select("boundary_key", "summary", "src", "place", F.col("identity.name").alias("source"), responses.alias("r")).where("r is not null")
+    said = sources.select("boundary_key", "summary", "source", "src", "place", F.posexplode_outer("r").alias("r_ord", "r")).select("boundary_key", "summary", "source", F.struct("src", "place", "r_ord").alias("place"), F.col("r.statusCode").alias("status"), F.col("r.body").alias("declared_body"))
+    bound = said.where("status is not null")
+    for stage, found in ((2, paths.sub_cases(p, c)), (4, paths.body_reads(p, c)), (4, paths.declared_body_reads(bound, c)), (5, paths.declared_bodies(bound))):
+        out.append(_finding(found, stage, F.col("description")))
+    differ = pairing.contract_agreement(said.select("boundary_key", "source", "status")).where("status is not null")
+    out.append(_finding(differ, 5, say("Some sources declare a status and others don't:"), kind=F.lit("contractDisagreement"), severity=F.lit("warning")))
+    out.append(_finding(_stories(summaries), 5, F.when(F.col("kind") == "scenarioCoverageGap", F.concat_ws(" ", F.lit("No story sets the input"), "arg", F.lit("of"), "component")).otherwise(F.concat_ws(" ", F.lit("Story sets an input that the component lacks:"), "arg")), consumer=F.coalesce("story", "component"), provider=F.col("component"), severity=F.lit("warning")))
     gaps = summaries.where("boundary_key is not null").select("boundary_key", F.col("summary").alias("provider"), F.explode("gaps").alias("g"))
     out.append(_finding(gaps, 3, F.col("g.description"), kind=F.lit("providerContractViolation"), severity=F.lit("error")))
 
-    met = src.interactions(summaries).cache()
+    met = src.interactions(summaries)
     s = F.col("identity.boundaryBinding.semantics")
     table_name = lambda sys, scope, tbl: F.concat_ws("/", sys, F.nullif(scope, F.lit("default")), tbl)
     columns = summaries.where(s["name"] == "storage-relational").select(table_name(s["storageSystem"], s["scope"], s["table"]).alias("tbl"), F.explode(F.from_json(F.get_json_object("metadata", "$.storageContract.columns"), "array<struct<name:string>>")).alias("c")).select("tbl", F.col("c.name").alias("field"))

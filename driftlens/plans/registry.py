@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, links, records
+from . import checks, links, paths, records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**checks.QUERIES, **records.QUERIES, **links.QUERIES}
+    return {**checks.QUERIES, **records.QUERIES, **links.QUERIES, **paths.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**checks.ORACLE, **records.ORACLE, **links.ORACLE}
+    return {**checks.ORACLE, **records.ORACLE, **links.ORACLE, **paths.ORACLE}

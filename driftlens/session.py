@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "driftlens") -> SparkSession:
@@ -23,3 +24,17 @@ def local_session(cpus: int | None = None, app: str = "driftlens") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read from there: it cuts the lineage and survives lost executors.
+
+    A temporary folder serves only where none is set and all runs on this machine.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftlens-"))
+    return df.checkpoint()

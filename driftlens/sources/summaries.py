@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, predicates
+from ..session import checkpointed
 
 # Kinds of code units by their side of a boundary.
 PROVIDER_KINDS = ("handler", "loader", "action", "middleware", "resolver", "worker", "component", "hook", "library")
@@ -30,7 +31,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.json").json(path)
     raw = raw.withColumn("src", F.input_file_name()).withColumn("place", F.monotonically_increasing_id())
     broken = F.col("_bad").isNotNull() | F.col("kind").isNull() | ~F.col("kind").isin(*PROVIDER_KINDS, *CONSUMER_KINDS) | F.col("identity.name").isNull() | F.col("location.file").isNull()
-    raw = raw.cache()
+    raw = checkpointed(raw)  # parsed once, and read anew whenever the folder is
     wrong = raw.where(broken).select("src", F.coalesce("_bad", "identity.name", "kind").alias("what")).limit(10).collect()
     if wrong:
         raise ValueError("not summaries: " + "; ".join(f"{r.src}: {r.what}" for r in wrong))
@@ -45,14 +46,19 @@ def binding_key(s: Column) -> Column:
     )
 
 
+def _accessors(of: str, *default: str) -> Column:
+    """Names of the properties that a summary reads the status or the body of a response by."""
+    named = F.from_json(F.get_json_object("metadata", f"$.http.{of}Accessors"), "array<string>")
+    return F.when(F.size(named) > 0, named).otherwise(F.array(*(F.lit(x) for x in default)))
+
+
 def transitions(summaries: DataFrame) -> DataFrame:
     """One row for each path of execution: its literal status, whether the status is unclear, and the statuses that it asks for."""
-    accessors = F.from_json(F.get_json_object("metadata", "$.http.statusAccessors"), "array<string>")
-    t = summaries.select("summary", "role", "boundary_key", F.when(F.size(accessors) > 0, accessors).otherwise(F.array(*(F.lit(x) for x in predicates.DEFAULT_STATUS))).alias("accessors"), F.posexplode("transitions").alias("t_ord", "t"))
+    t = summaries.select("summary", "role", "boundary_key", _accessors("status", *predicates.DEFAULT_STATUS).alias("accessors"), _accessors("body", "body").alias("body_accessors"), F.posexplode("transitions").alias("t_ord", "t"))
     out, code = F.col("t.output"), F.col("t.output.statusCode")
     response = out["type"] == "response"
     return t.select(
-        "summary", "role", "boundary_key", "t_ord", F.col("t.id").alias("transition"), F.col("t.isDefault").alias("is_default"),
+        "summary", "role", "boundary_key", "accessors", "body_accessors", "t_ord", F.col("t.id").alias("transition"), F.col("t.isDefault").alias("is_default"),
         F.when(response & (code["type"] == "literal"), code["value"].cast("int")).alias("status"), F.coalesce(response & code.isNotNull() & (code["type"] != "literal"), F.lit(False)).alias("opaque"),
         out["body"].alias("body"), F.col("t.expectedInput").alias("expected_input"), F.col("t.conditions").alias("conditions"),
         predicates.condition_statuses(F.coalesce("t.conditions", F.array().cast("array<string>")), F.col("accessors")).alias("asks"),

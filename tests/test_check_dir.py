@@ -74,3 +74,63 @@ def test_predicates():
     assert predicates.inputs({"type": "compound", "op": "and", "operands": [truth, eq(3)]}) == ["a"]
     assert predicates.unclear({"type": "negation", "operand": {"type": "opaque", "sourceText": "?"}}) and not predicates.unclear(truth)
     assert predicates.statuses({"type": "compound", "op": "or", "operands": [eq(200), {"type": "negation", "operand": eq(404)}]}) == [200, 404]
+
+
+def found(spark, tmp_path, *records):
+    (tmp_path / "all.json").write_text(json.dumps(records))
+    return {(r.kind, r.severity, r.description) for r in check_dir(spark, str(tmp_path)).collect()}
+
+
+TRUTH = {"type": "truthinessCheck", "subject": {"type": "input", "inputRef": "flag", "path": []}, "negated": False}
+RECORD = lambda **fields: {"type": "record", "properties": fields}
+INT = {"type": "integer"}
+
+
+def test_cases_of_one_status(spark, tmp_path):
+    two = [path("a", [TRUTH], status=200), path("b", status=200, default=True)]
+    one_branch = summary("client", "plain", [path("x", [eq(200)])], REST)
+    unsure = summary("client", "unsure", [path("x", [eq(200), {"type": "opaque", "sourceText": "?"}])], REST)
+    same = summary("client", "same", [path("x", [eq(200), TRUTH])], REST)
+    got = found(spark, tmp_path, summary("handler", "get", two, REST), one_branch, unsure, same)
+    assert got == {
+        ("unhandledProviderCase", "warning", "Status 200 has 2 cases that the consumer takes for one: path a"),
+        ("lowConfidence", "info", "Status 200 has cases that can't be compared with the consumer's branches: path a"),
+    }
+
+
+def test_single_paths_are_no_cases(spark, tmp_path):
+    got = found(spark, tmp_path, summary("handler", "get", [path("a", [TRUTH], status=200), path("b", status=404)], REST), summary("client", "c", [path("x", [eq(200)]), path("y", [eq(404)])], REST))
+    assert got == set()
+
+
+def test_reads_of_bodies(spark, tmp_path):
+    body = RECORD(id=INT, note={"type": "union", "variants": [{"type": "text"}, {"type": "undefined"}]})
+    provider = summary("handler", "get", [path("a", status=200, default=True, body=body)], REST)
+    wrapped = summary("client", "wrapped", [path("x", [eq(200)], reads=RECORD(body=RECORD(note={"type": "unknown"})))], REST)
+    default = summary("client", "default", [path("y", default=True, reads=RECORD(gone={"type": "unknown"}))], REST)
+    assert found(spark, tmp_path, provider, wrapped, default) == {
+        ("consumerContractViolation", "info", "Consumer reads note that the provider may leave out at status 200"),
+        ("unhandledProviderCase", "error", "Consumer reads a field that the body lacks at status 200 in the default branch"),
+    }
+
+
+def test_declared_sources(spark, tmp_path):
+    contract = lambda *r: {"http": {"declaredContract": {"framework": "x", "responses": [{"statusCode": s, "body": b} for s, b in r]}}}
+    one = summary("library", "one", [path("a", status=200, default=True)], REST, contract((200, RECORD(id=INT)), (404, None)))
+    two = summary("library", "two", [path("a", status=200, default=True)], REST, contract((200, RECORD(id={"type": "text"}))))
+    client = summary("client", "c", [path("x", default=True, reads=RECORD(name={"type": "unknown"})), path("y", [eq(404)])], REST)
+    got = found(spark, tmp_path, one, two, client)
+    assert ("contractDisagreement", "warning", "Some sources declare a status and others don't: 404") in got
+    assert ("contractDisagreement", "warning", "Sources declare bodies that don't match at status 200") in got
+    assert ("consumerContractViolation", "warning", "Consumer reads a field that the contract doesn't declare at status 200") in got
+    assert not any("status and others don't: 200" in d for _, _, d in got)
+
+
+def test_stories(spark, tmp_path):
+    flag = {"type": "parameter", "name": "flag"}
+    button = {**summary("component", "Button", [path("a", [TRUTH]), path("b", default=True)], REST), "inputs": [flag]}
+    button["identity"]["boundaryBinding"] = None
+    story = lambda name, args: {**summary("component", name, [], REST, {"component": {"storybook": {"component": "Button", "args": args}}}), "identity": {"name": name, "exportPath": None, "boundaryBinding": None}}
+    bare = found(spark, tmp_path, button, story("Plain", {}), story("Wide", {"width": 3}))
+    assert bare == {("scenarioCoverageGap", "warning", "No story sets the input flag of Button"), ("boundaryFieldUnknown", "warning", "Story sets an input that the component lacks: width")}
+    assert found(spark, tmp_path, button, story("On", {"flag": True})) == set()
