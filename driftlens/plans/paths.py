@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import assembly
 from ..operators import paths
 from ..sources.projection import scan
 
@@ -66,7 +67,30 @@ def declared_bodies(spark, d):
     return paths.declared_bodies(_declared(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (path_sub_cases, path_body_reads, declared_body_reads, declared_bodies)}
+def assembled_paths(spark, d):
+    """Every line item as a unit with one path: its ends, conditions, inputs and metadata go by its columns."""
+    flag, line, key = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_orderkey")
+    none = F.lit(None).cast("string")
+    status = F.when(line <= 2, F.struct(F.lit("literal").alias("type"), F.when(flag == "N", 200.0).otherwise(404.0).alias("value"), none.alias("sourceText"))).when(line == 3, F.struct(F.lit("dynamic").alias("type"), F.lit(None).cast("double").alias("value"), F.lit("code").alias("sourceText")))
+    kind = F.when(flag == "N", "response").when(flag == "A", "throw").otherwise("render")
+    body = F.struct(none.alias("shape"), F.when(line == 1, "User").alias("typeText"))
+    terminal = F.struct(kind.alias("kind"), status.alias("statusCode"), body.alias("body"), F.lit("Gone").alias("exceptionType"), F.when(line == 4, "Page").alias("target"))
+    condition = F.struct(F.when(line % 2 == 0, FLAG).alias("structured"), F.concat(F.lit("q"), line).alias("sourceText"), F.when(key % 2 == 0, "negative").otherwise("positive").alias("polarity"))
+    branch = F.struct(F.array(condition).alias("conditions"), terminal.alias("terminal"), F.lit(False).alias("isDefault"), none.alias("expectedInput"))
+    param = F.struct(F.lit("id").alias("name"), line.cast("int").alias("position"), F.lit("path").alias("role"), F.when(flag == "A", "text").otherwise("").alias("typeText"))
+    raw = scan(spark, d, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("name"), key, line, F.array(param).alias("parameters"), F.array(branch).alias("branches"), none.alias("declared_contract"),
+        F.when(flag == "R", F.array(F.lit("data"))).alias("body_accessors"), F.array().cast("array<string>").alias("status_accessors"), F.when(line == 5, "query Q").alias("graphql_document"), none.alias("graphql_schema"), none.alias("graphql_contract"),
+    )
+    t = F.col("transitions")[0]
+    out = t["output"]
+    return assembly.assemble(raw).select(
+        "l_orderkey", "l_linenumber", t["id"].alias("path"), t["conditions"][0].alias("condition"), F.col("inputs")[0].alias("input"), out["type"].alias("ends"), out["statusCode"]["type"].alias("status_type"),
+        out["statusCode"]["value"].cast("int").alias("status"), out["body"].alias("body"), out["exceptionType"].alias("exception"), out["target"].alias("target"), "level", "metadata",
+    )
+
+
+QUERIES = {f.__name__: f for f in (path_sub_cases, path_body_reads, declared_body_reads, declared_bodies, assembled_paths)}
 
 KEYS = "'GET /c/' || CAST(c_custkey AS VARCHAR) AS boundary_key, 'c' || CAST(c_custkey AS VARCHAR) AS provider, 'o' || CAST(o_orderkey AS VARCHAR) AS consumer"
 
@@ -86,4 +110,15 @@ SELECT boundary_key, s || CAST(c_custkey AS VARCHAR) AS provider, consumer, 'x'
     "declared_bodies": """
 SELECT 'GET /c/' || CAST(c_custkey AS VARCHAR) AS boundary_key, 's' || CAST(c_custkey AS VARCHAR) AS provider, 't' || CAST(c_custkey AS VARCHAR) AS consumer, CAST(NULL AS VARCHAR) AS transition, 'contractDisagreement' AS kind, 'warning' AS severity, 'Sources declare bodies that don''t match at status 200' AS description
 FROM customer WHERE c_nationkey % 3 = 0""",
+    "assembled_paths": f"""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber AS n, l_returnflag AS f, 's' || CAST(l_suppkey AS VARCHAR) AS name, 'q' || CAST(l_linenumber AS VARCHAR) AS q, CASE WHEN l_orderkey % 2 = 0 THEN 'negative' ELSE 'positive' END AS polarity,
+ CASE l_returnflag WHEN 'N' THEN 'response' WHEN 'A' THEN 'throw' ELSE 'render' END AS kind, CASE WHEN l_linenumber <= 2 THEN CASE l_returnflag WHEN 'N' THEN 200 ELSE 404 END END AS code FROM lineitem),
+y AS (SELECT *, CASE WHEN kind = 'throw' AND n <= 3 THEN 'response' ELSE kind END AS ends, CASE WHEN n % 2 = 0 THEN '{FLAG}' ELSE '{{"type":"opaque","sourceText":"' || q || '","reason":"complexExpression"}}' END AS pred,
+ CASE WHEN f = 'R' THEN '"http":{{"bodyAccessors":["data"]}}' END AS http, CASE WHEN n = 5 THEN '"graphql":{{"document":"query Q"}}' END AS graphql FROM x)
+SELECT l_orderkey, l_linenumber, name || ':' || kind || ':' || CASE WHEN n <= 2 THEN CAST(code AS VARCHAR) WHEN n = 3 THEN 'dyn:code' ELSE 'none' END || ':' || substr(sha1(polarity || ':' || q), 1, 7) AS path,
+CASE WHEN polarity = 'negative' THEN '{{"type":"negation","operand":' || pred || '}}' ELSE pred END AS condition,
+'{{"type":"parameter","name":"id","position":' || CAST(n AS VARCHAR) || ',"role":"path","shape":' || CASE WHEN f = 'A' THEN '{{"type":"ref","name":"text"}}' ELSE 'null' END || '}}' AS input, ends,
+CASE WHEN ends = 'response' AND n <= 3 THEN CASE WHEN n <= 2 THEN 'literal' ELSE 'unresolved' END END AS status_type, CASE WHEN ends = 'response' THEN code END AS status, CASE WHEN ends = 'response' AND n = 1 THEN '{{"type":"ref","name":"User"}}' END AS body,
+CASE WHEN ends = 'throw' THEN 'Gone' END AS exception, CASE WHEN ends = 'render' THEN CASE WHEN n = 4 THEN 'Page' ELSE 'unknown' END END AS target, CASE WHEN n % 2 = 0 THEN 'high' ELSE 'low' END AS level,
+CASE WHEN http IS NOT NULL OR graphql IS NOT NULL THEN '{{' || concat_ws(',', http, graphql) || '}}' END AS metadata FROM y""",
 }
