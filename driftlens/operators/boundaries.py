@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def relational_storage(declared: DataFrame, accesses: DataFrame) -> DataFrame:
     """Declared columns (tbl, field) against accesses (tbl, field, mode read or write; field '*' is all columns).
@@ -87,17 +89,24 @@ def graphql_roots(selections: DataFrame, resolvers: DataFrame) -> DataFrame:
     return selections.join(n, ["type_name", "field_name"], "left").select("operation", "type_name", "field_name", F.coalesce("n", F.lit(0)).alias("n_resolvers"), F.col("n").isNull().alias("unmatched"))
 
 
-def graphql_nested(selections: DataFrame, fields: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def graphql_nested(selections: DataFrame, fields: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """Nested selections (operation, node, parent, field_name) walked down the schema (type_name, field_name, target) from roots (operation, node, type_name).
 
-    A child that its parent's type lacks is returned and not walked further; nor are types without fields. depth bounds the walk.
+    A child that its parent's type lacks is returned and not walked further; nor are types without fields. The walk ends
+    after depth levels; without a depth where no selection is left, and levels are checkpointed.
     """
     level, out = roots, None
     typed = fields.select("type_name").distinct()
-    for _ in range(depth):
+    while depth is None or depth > 0:
         children = selections.join(level.select("operation", F.col("node").alias("parent"), "type_name"), ["operation", "parent"]).join(typed, "type_name", "left_semi")
         met = children.join(fields, ["type_name", "field_name"], "left")
         lost = met.where("target is null").select("operation", "type_name", "field_name")
         out = lost if out is None else out.unionByName(lost)
         level = met.where("target is not null").select("operation", "node", F.col("target").alias("type_name"))
+        if depth is not None:
+            depth -= 1
+            continue
+        level = checkpointed(level)
+        if level.isEmpty():
+            break
     return out

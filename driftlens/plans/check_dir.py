@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lattice, predicates, shapes
 from ..operators import boundaries, findings, pairing, paths
 from ..session import checkpointed
+from ..sources import graphql
 from ..sources import summaries as src
 
 COLUMNS = ["stage", "kind", "boundary_key", "description", "consumer", "transition", "provider", "severity"]
@@ -37,6 +38,30 @@ def _stories(summaries: DataFrame) -> DataFrame:
     return boundaries.component_stories(components, stories)
 
 
+def _graphql(summaries: DataFrame) -> DataFrame:
+    """Root selections of operations that no resolver answers, and nested ones that the schema of one of their resolvers lacks.
+
+    A schema is named by its text, so that resolvers with one schema share its walk.
+    """
+    s, meta = F.col("identity.boundaryBinding.semantics"), lambda name: F.get_json_object("metadata", f"$.graphql.{name}")
+    documents = summaries.where((s["name"] == "graphql-operation") & meta("document").isNotNull()).select(F.col("summary").alias("path"), meta("document").alias("content"))
+    nodes = checkpointed(graphql.read_operations(documents).withColumnRenamed("operation", "name").withColumnRenamed("source", "operation"))
+    kinds = F.create_map(*(F.lit(x) for pair in graphql.ROOTS.items() for x in pair))
+    roots = nodes.where("parent = 0").withColumn("type_name", kinds[F.col("operation_type")])
+    resolvers = summaries.where(s["name"] == "graphql-resolver").select(s["typeName"].alias("type_name"), s["fieldName"].alias("field_name"), meta("schemaSdl").alias("text"))
+    alone = boundaries.graphql_roots(roots, resolvers).where("unmatched")
+    schemas = resolvers.where("text is not null").withColumn("schema", F.sha2("text", 256))
+    fields = graphql.read_schema(schemas.select(F.col("schema").alias("path"), F.col("text").alias("content")).distinct()).select(F.col("source").alias("schema"), "type_name", "field_name", "target")
+    met = roots.join(schemas.select("schema", "type_name", "field_name").distinct(), ["type_name", "field_name"]).join(fields, ["schema", "type_name", "field_name"])
+    within = lambda name: F.concat_ws(":", "schema", name)
+    lost = boundaries.graphql_nested(
+        nodes.where("parent > 0").select("operation", "node", "parent", "field_name"),
+        fields.select(within("type_name").alias("type_name"), "field_name", within("target").alias("target")), met.select("operation", "node", within("target").alias("type_name")),
+    ).withColumn("type_name", F.substring_index("type_name", ":", -1))
+    say = lambda df, what: df.select("operation", F.concat_ws(" ", F.lit(what), F.concat_ws(".", "type_name", "field_name")).alias("description"))
+    return say(alone, "No resolver for").unionByName(say(lost.distinct(), "The schema lacks"))
+
+
 def check_all(summaries: DataFrame) -> DataFrame:
     """Every finding of every check, numbered by stage and content, before merging."""
     t = checkpointed(src.transitions(summaries))
@@ -61,6 +86,7 @@ def check_all(summaries: DataFrame) -> DataFrame:
         out.append(_finding(found, stage, F.col("description")))
     differ = pairing.contract_agreement(said.select("boundary_key", "source", "status")).where("status is not null")
     out.append(_finding(differ, 5, say("Some sources declare a status and others don't:"), kind=F.lit("contractDisagreement"), severity=F.lit("warning")))
+    out.append(_finding(_graphql(summaries), 5, F.col("description"), kind=F.lit("boundaryFieldUnknown"), severity=F.lit("warning"), consumer=F.col("operation")))
     out.append(_finding(_stories(summaries), 5, F.when(F.col("kind") == "scenarioCoverageGap", F.concat_ws(" ", F.lit("No story sets the input"), "arg", F.lit("of"), "component")).otherwise(F.concat_ws(" ", F.lit("Story sets an input that the component lacks:"), "arg")), consumer=F.coalesce("story", "component"), provider=F.col("component"), severity=F.lit("warning")))
     gaps = summaries.where("boundary_key is not null").select("boundary_key", F.col("summary").alias("provider"), F.explode("gaps").alias("g"))
     out.append(_finding(gaps, 3, F.col("g.description"), kind=F.lit("providerContractViolation"), severity=F.lit("error")))

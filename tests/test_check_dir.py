@@ -134,3 +134,16 @@ def test_stories(spark, tmp_path):
     bare = found(spark, tmp_path, button, story("Plain", {}), story("Wide", {"width": 3}))
     assert bare == {("scenarioCoverageGap", "warning", "No story sets the input flag of Button"), ("boundaryFieldUnknown", "warning", "Story sets an input that the component lacks: width")}
     assert found(spark, tmp_path, button, story("On", {"flag": True})) == set()
+
+
+def test_graphql_operations(spark, tmp_path):
+    sdl = "type Query { user: User! } type User { id: ID name: String pet: Pet } type Pet { name: String owner: User }"
+    resolver = summary("resolver", "user", [path("a", default=True)], {"name": "graphql-resolver", "typeName": "Query", "fieldName": "user"}, {"graphql": {"schemaSdl": sdl}})
+    operation = lambda name, document: summary("client", name, [path("a", default=True)], {"name": "graphql-operation", "operationType": "query"}, {"graphql": {"document": document}})
+    deep = operation("deep", "query Q { user { id pet { owner { pet { age } nick } } } gone { id } }")
+    fine = operation("fine", "{ user { id pet { name owner { name } } } }")
+    assert found(spark, tmp_path, resolver, deep, fine) == {
+        ("boundaryFieldUnknown", "warning", "No resolver for Query.gone"),
+        ("boundaryFieldUnknown", "warning", "The schema lacks Pet.age"),
+        ("boundaryFieldUnknown", "warning", "The schema lacks User.nick"),
+    }
