@@ -96,11 +96,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def estimate(df: DataFrame) -> int:
+    """The plan's estimate of df's bytes, 0 if there is none."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if told >= 1 << 60 else told
+
+
 def shards(df: DataFrame, least: int, size: int) -> int:
     """A power of two: least, the shuffle partitions or the plan's estimate of df's bytes over size, whichever is most."""
-    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    told = 0 if told >= 1 << 60 else told  # no estimate
-    return 1 << (max(least, partitions(df.sparkSession), -(-told // size)) - 1).bit_length()
+    return 1 << (max(least, partitions(df.sparkSession), -(-estimate(df) // size)) - 1).bit_length()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

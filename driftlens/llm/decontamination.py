@@ -2,10 +2,11 @@
 
 1. Every word of every document is counted; a passage is a bag of hashed words (FEATURES), each weighted by the logarithm of
    all occurrences over its own.
-2. A randomised SVD of the passages of at most SAMPLE documents gives the corpus' first COMMON latent directions, what passages
-   of a language share: tasks add up the random projections of their rows, the driver orthonormalises a matrix of fixed size,
-   and tasks then add up the small Gram matrix in that basis. Each passage of the benchmark, less its part in those directions,
-   is a direction of the search space of its own, so that the space grows with the benchmark and holds every item whole.
+2. A randomised SVD of the passages of all documents, one beginning at every block, gives the corpus' first COMMON latent
+   directions, what passages of a language share: tasks add up their passages, each times its products with the same random
+   vectors, the driver orthonormalises that matrix of fixed size, and tasks then add up the small Gram matrix in that basis.
+   Each passage of the benchmark, less its part in those directions, is a direction of the search space of its own, so that the
+   space grows with the benchmark and holds every item whole.
 3. All documents are cut into blocks of BLOCK words. Windows of SHORT and LONG blocks, one beginning at every block, are
    compared with the benchmark's passages (those of up to SHORT_ITEM words with the short windows), COLUMNS of them at a time,
    read from files of PORTION items, so that one pass over the documents serves any benchmark. Pairs of cosine NEAR or more are
@@ -20,17 +21,17 @@ import json
 import os
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import atomic_write, mounted, prepare, scratch, stored, table, text_bytes
+from .cluster import atomic_write, estimate, mounted, prepare, scratch, stored, table, text_bytes
 from .words import LOWER, bounded, hashes, joined, ragged, spans
 
-FEATURES, RANK, OVERSAMPLE, COMMON, SAMPLE, PORTION = 1 << 15, 96, 12, 8, 3000, 1024
+FEATURES, RANK, OVERSAMPLE, COMMON, PORTION = 1 << 15, 96, 12, 8, 1024
 BLOCK, SHORT, LONG, SHORT_ITEM, LONGEST = 12, 2, 5, 30, 60
 NEAR, STRONG, WEAK = 0.2, 0.6, 0.45
 FAR_EDGES = "«»“”‘’„…–—¿¡"
@@ -44,8 +45,10 @@ COLUMNS, STEP = 256, 2048
 OWN = 0.5
 #: Windows that begin in so many blocks in a row are checked together, and words looked up at once.
 TOGETHER, LOOKUPS = 4, 1_000_000
-#: Features to a row when sums of tasks are dealt out, and words of passages that are projected at once.
-ROWS, ENTRIES = 1024, 30_000
+#: A feature with more words than that among the blocks of a step is added up by a product of matrices.
+OFTEN = 32
+#: Features to a row when sums of tasks are dealt out, and bytes of texts to a task whose sums have RANK + OVERSAMPLE columns.
+ROWS, SHARE = 1024, 1 << 28
 
 
 class Plain(dict):
@@ -150,56 +153,100 @@ def occurrences(docs: DataFrame) -> np.ndarray:
     return _dealt(docs.select("t").mapInArrow(count, "piece int, data binary"), 1, "int64")[:, 0]
 
 
-def passages_of(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and features of the long windows that begin at every second row of blocks."""
-    starts = np.arange(0, max(len(grid) - LONG + 1, 0), 2)
-    wide = np.concatenate([grid[starts + k] for k in range(LONG)], axis=1) if len(starts) else np.zeros((0, LONG * BLOCK), dtype=np.int32)
-    row, col = np.nonzero(wide < FEATURES)
-    return row, wide[row, col]
+def row_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows of a table that each row of at names, BLOCK of them."""
+    out = table[at[:, 0]]
+    more = np.empty_like(out)
+    for k in range(1, BLOCK):
+        np.take(table, at[:, k], axis=0, out=more, mode="clip")
+        out += more
+    return out
+
+
+def projected(grid: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the passages of length 1 that begin in the grid but for its last rows: which rows begin one, products with the table, 1 / length before.
+
+    A passage is a long window that begins at a block of a text. The table has a row for each feature, times its weight, and the squared weight last.
+    """
+    n = len(grid) - LONG + 1
+    x = window_sums(row_sums(table, grid), LONG)[:n]
+    begins = grid[:n, 0] < FEATURES
+    scale = np.where(begins, 1 / np.sqrt(np.maximum(x[:, -1], 1e-9)), 0).astype(np.float32)
+    return begins, x[:, :-1] * scale[:, None], scale
+
+
+def add_rows(total: np.ndarray, grid: np.ndarray, rows: np.ndarray) -> None:
+    """Adds to the total of each feature the row of each of its words."""
+    feature = grid.reshape(-1).astype(np.uint16)  # sorted by radix
+    order = np.argsort(feature, kind="stable")
+    feature = feature[order]
+    n = int(np.searchsorted(feature, FEATURES))
+    feature, row = feature[:n], order[:n] // BLOCK
+    first = np.flatnonzero(np.diff(feature.astype(np.int32), prepend=-1))
+    times = np.diff(first, append=n)
+    by = np.argsort(-times, kind="stable")
+    first, times = first[by], times[by]
+    often = int(np.count_nonzero(times > OFTEN))
+    if often:  # as a product of matrices
+        at = np.repeat(np.arange(often), times[:often]) * len(grid) + row[ragged(first[:often], times[:often])]
+        total[feature[first[:often]]] += np.bincount(at, minlength=often * len(grid)).reshape(often, -1).astype(np.float32) @ rows
+    first, times = first[often:], times[often:]
+    if len(first):  # the k-th words of all others at once
+        own = rows[row[first]]
+        for k in range(1, int(times[0])):
+            m = int(np.count_nonzero(times > k))
+            own[:m] += rows[row[first[:m] + k]]
+        total[feature[first]] += own
+
+
+def steps(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The blocks of all texts, STEP rows and the LONG - 1 after them at a time: each passage begins in one of the former."""
+    grid, _, _ = blocks(texts)
+    return (grid[at : at + STEP + LONG - 1] for at in range(0, len(grid) - LONG + 1, STEP))
+
+
+def weighted(columns: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The table of projected(); FEATURES stands for no word."""
+    table = np.zeros((FEATURES + 1, columns.shape[1] + 1), dtype=np.float32)
+    table[:-1, :-1] = columns * weight[:, None]
+    table[:-1, -1] = weight * weight
+    return table
 
 
 def shared_directions(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
-    """FEATURES x COMMON at most: the first right singular vectors of the passages of a bounded table (binary t)."""
+    """FEATURES x COMMON at most: the first right singular vectors of the passages of all texts (binary t), however they are dealt out.
+
+    Tasks are few, as what each gives is as large as the space, whatever it has read.
+    """
     spark = texts.sparkSession
     width = RANK + OVERSAMPLE
     w = spark.sparkContext.broadcast(weight.astype(np.float32))
-
-    def rows(b):
-        """Rows, features and values of the passages, each of length 1."""
-        grid, _, _ = blocks(b.column("t").to_pylist())
-        row, col = passages_of(grid)
-        v = w.value[col].astype(np.float64)
-        norm = np.sqrt(np.bincount(row, weights=v * v)) if len(row) else np.zeros(0)
-        return row, col, (v / np.maximum(norm, 1e-9)[row]).astype(np.float32)
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, estimate(texts) // SHARE))
 
     def project(batches):
+        table = weighted(np.random.default_rng(RANK).standard_normal((FEATURES, width), dtype=np.float32), w.value)
         total = np.zeros((FEATURES, width), dtype=np.float32)
-        for b in bounded(batches, "t", 1_000_000):
-            row, col, v = rows(b)
-            if len(row):
-                seed = xxhash.xxh3_64_intdigest(b.column("t")[0].as_py())
-                g = np.random.default_rng(seed).standard_normal((int(row[-1]) + 1, width), dtype=np.float32)
-                for a in range(0, len(row), ENTRIES):
-                    c, r, x = col[a : a + ENTRIES], row[a : a + ENTRIES], v[a : a + ENTRIES]
-                    order = np.argsort(c, kind="stable")
-                    c, r, x = c[order], r[order], x[order]
-                    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                    total[c[first]] += np.add.reduceat(g[r] * x[:, None], first, axis=0)
+        for b in bounded(batches, "t"):
+            for grid in steps(b.column("t").to_pylist()):
+                _, x, scale = projected(grid, table)
+                x *= scale[:, None]
+                about = np.zeros((len(grid), width), dtype=np.float32)  # of each block, the sum over its passages
+                for k in range(LONG):
+                    about[k : k + len(x)] += x
+                add_rows(total, grid, about)
+        total *= w.value[:, None]
         yield _pieces(total)
 
     q, _ = np.linalg.qr(_dealt(texts.mapInArrow(project, "piece int, data binary"), width, "float32"))
     basis = spark.sparkContext.broadcast(q.astype(np.float32))
 
     def gram(batches):
-        total = np.zeros((width, width))
-        for b in bounded(batches, "t", 1_000_000):
-            row, col, v = rows(b)
-            if len(row):
-                edges = [*np.flatnonzero(np.diff(row, prepend=-1))[:: ENTRIES // (LONG * BLOCK)].tolist(), len(row)]
-                for a, z in zip(edges, edges[1:], strict=False):  # whole passages
-                    first = np.flatnonzero(np.diff(row[a:z], prepend=-1))
-                    p = np.add.reduceat(basis.value[col[a:z]] * v[a:z, None], first, axis=0)
-                    total += p.T @ p
+        table, total = weighted(basis.value, w.value), np.zeros((width, width))
+        for b in bounded(batches, "t"):
+            for grid in steps(b.column("t").to_pylist()):
+                begins, x, _ = projected(grid, table)
+                x = x[begins]
+                total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["data"])
 
     corpus = sum((np.frombuffer(r.data).reshape(width, width) for r in texts.mapInArrow(gram, "data binary").collect()), np.zeros((width, width)))
@@ -238,13 +285,7 @@ class Passages:
 
     def sums(self, grid: np.ndarray) -> np.ndarray:
         """Products of each row of the grid with the passages, shared directions counted."""
-        at = self.at[grid]
-        out = self.table[at[:, 0]]
-        more = np.empty_like(out)
-        for k in range(1, BLOCK):
-            np.take(self.table, at[:, k], axis=0, out=more, mode="clip")
-            out += more
-        return out
+        return row_sums(self.table, self.at[grid])
 
     def shared_words(self, flat: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each span of words and its item, how many words they share at most, in any order."""
@@ -321,9 +362,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
     counts = occurrences(docs)
     weight = np.log((counts.sum() + 1) / (counts + 1)) + 0.1
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = stored(docs.join(F.broadcast(ids), "doc_id").select("t"), "lsa-sample")  # SAMPLE ids at most
-    shared = shared_directions(sample, weight)
+    shared = shared_directions(docs.select("t"), weight)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("trim(text) != ''")
     return search(docs, portions(items), spark.sparkContext.broadcast((weight.astype(np.float32), shared)))
 
