@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from driftlens.llm import decontamination
@@ -31,14 +32,14 @@ def exact(texts):
     return used, vectors[:, ::-1], values[::-1], gram
 
 
-def holds(shared, texts):
-    """Each direction holds as much of the passages as the exact one does, within 2 %, and none of them lies in other features."""
+def holds(shared, texts, within=0.02):
+    """Each direction holds as much of the passages as the exact one does, but for a small share, and none of them lies in other features."""
     used, _, values, gram = exact(texts)
     assert shared.shape == (decontamination.FEATURES, decontamination.COMMON)
     assert np.allclose(shared.T @ shared, np.eye(decontamination.COMMON), atol=1e-3)
     assert np.abs(np.delete(shared, used, axis=0)).max() < 1e-4
     got = np.diag(shared[used].T @ gram @ shared[used])
-    assert np.allclose(got, values[: decontamination.COMMON], rtol=0.02), (got, values[: decontamination.COMMON])
+    assert np.allclose(got, values[: decontamination.COMMON], rtol=within), (got, values[: decontamination.COMMON])
 
 
 def captured(monkeypatch):
@@ -64,3 +65,18 @@ def test_all_documents_tell_the_shared_directions(spark, monkeypatch):
     found = decontamination.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     holds(seen[0], [t for _, t in rows if t] + [prose(20, 98, WORDS) + " " + item])
     assert found.where("contaminated").select("doc_id").collect() == [(5000,)] and found.count() == len(rows) + 1
+
+
+def test_all_rows_of_the_stage_tell_the_shared_directions(spark, tmp_path, monkeypatch):
+    """The pipeline's stage, with rows without an id and repeated rows, dealt out in two ways."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    seen = captured(monkeypatch)
+    item = prose(40, 97, WORDS[:200])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k if k % 3 else None, prose(13, k, WORDS[:130])) for k in range(3200)] + [(None, prose(400, k % 40, WORDS[130:230])) for k in range(60)] + [(7, prose(90, 5, WORDS) + " " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 7):
+        kept = pipeline.decontaminate(spark, docs.repartition(n), str(tmp_path))
+        assert kept.count() == len(rows) - 1
+        holds(seen[-1], [t for _, t in rows], 0.05)
+    assert np.allclose(seen[0] @ (seen[0].T @ seen[1]), seen[1], atol=1e-3)
