@@ -5,6 +5,7 @@
 2. A randomised SVD of the passages of all documents, one beginning at every block, gives the corpus' first COMMON latent
    directions, what passages of a language share: tasks add up their passages, each times its products with the same random
    vectors, the driver orthonormalises that matrix of fixed size, and tasks then add up the small Gram matrix in that basis.
+   Both passes read the features of all words, which are found and stored once.
    Each passage of the benchmark, less its part in those directions, is a direction of the search space of its own, so that the
    space grows with the benchmark and holds every item whole.
 3. All documents are cut into blocks of BLOCK words. Windows of SHORT and LONG blocks, one beginning at every block, are
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import atomic_write, estimate, mounted, prepare, scratch, stored, table, text_bytes
-from .words import LOWER, bounded, hashes, joined, ragged, spans
+from .words import bounded, hashes, joined, lowered, ragged, release, spans
 
 FEATURES, RANK, OVERSAMPLE, COMMON, PORTION = 1 << 15, 96, 12, 8, 1024
 BLOCK, SHORT, LONG, SHORT_ITEM, LONGEST = 12, 2, 5, 30, 60
@@ -47,8 +48,8 @@ OWN = 0.5
 TOGETHER, LOOKUPS = 4, 1_000_000
 #: A feature with more words than that among the blocks of a step is added up by a product of matrices.
 OFTEN = 32
-#: Features to a row when sums of tasks are dealt out, and bytes of texts to a task whose sums have RANK + OVERSAMPLE columns.
-ROWS, SHARE = 1024, 1 << 28
+#: Features to a row when sums of tasks are dealt out, and bytes of stored features to a task whose sums have RANK + OVERSAMPLE columns.
+ROWS, SHARE = 1024, 1 << 26
 
 
 class Plain(dict):
@@ -83,7 +84,7 @@ def folded(text: bytes) -> bytes:
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all texts' words, and the number of words of each text. Words with the same plain() have the same feature."""
     raw, borders = joined([folded(t) for t in texts])
-    raw = LOWER[raw]
+    raw = lowered(raw)
     starts, ends = spans(raw)
     counts = np.diff(np.searchsorted(starts, borders), prepend=0)
     begin, end = starts.copy(), ends.copy()
@@ -102,7 +103,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all texts in rows of BLOCK, FEATURES where there is no word, LONG - 1 empty rows after each; first row of each text; numbers of words."""
-    flat, sizes = features(texts)
+    return dealt(*features(texts))
+
+
+def dealt(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of texts whose features are given."""
     rows = -(-sizes // BLOCK) + LONG - 1
     first = np.cumsum(rows) - rows
     out = np.full(int(rows.sum()) * BLOCK, FEATURES, dtype=np.int32)
@@ -141,16 +146,34 @@ def _pieces(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(cut)), type=pa.int32()), pa.array(cut, type=pa.binary())], names=["piece", "data"])
 
 
-def occurrences(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each feature in all documents."""
+def featured(texts: DataFrame) -> DataFrame:
+    """The features of each text (binary t) as binary f, two bytes each, stored: words are found and hashed once for all that asks no more."""
+
+    def run(batches):
+        for b in bounded(batches, "t"):
+            flat, sizes = features(b.column("t").to_pylist())
+            ends = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u2"))])], names=["f"])
+
+    return stored(texts.mapInArrow(run, "f binary"), "features")
+
+
+def read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features and numbers of words, as features() gives them, of a column f."""
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(texts), dtype="<u2").astype(np.int32), np.array([len(t) // 2 for t in texts], dtype=np.int64)
+
+
+def occurrences(rows: DataFrame) -> np.ndarray:
+    """Occurrences of each feature in all rows of featured()."""
 
     def count(batches):
         total = np.zeros(FEATURES, dtype=np.int64)
-        for b in bounded(batches, "t"):
-            total += np.bincount(features(b.column("t").to_pylist())[0], minlength=FEATURES)
+        for b in bounded(batches, "f"):
+            total += np.bincount(read(b.column("f"))[0], minlength=FEATURES)
         yield _pieces(total)
 
-    return _dealt(docs.select("t").mapInArrow(count, "piece int, data binary"), 1, "int64")[:, 0]
+    return _dealt(rows.mapInArrow(count, "piece int, data binary"), 1, "int64")[:, 0]
 
 
 def row_sums(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -199,9 +222,9 @@ def add_rows(total: np.ndarray, grid: np.ndarray, rows: np.ndarray) -> None:
         total[feature[first]] += own
 
 
-def steps(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The blocks of all texts, STEP rows and the LONG - 1 after them at a time: each passage begins in one of the former."""
-    grid, _, _ = blocks(texts)
+def steps(column: pa.Array) -> Iterator[np.ndarray]:
+    """The blocks of all texts of a column f, STEP rows and the LONG - 1 after them at a time: each passage begins in one of the former."""
+    grid, _, _ = dealt(*read(column))
     return (grid[at : at + STEP + LONG - 1] for at in range(0, len(grid) - LONG + 1, STEP))
 
 
@@ -213,21 +236,31 @@ def weighted(columns: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return table
 
 
-def shared_directions(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
-    """FEATURES x COMMON at most: the first right singular vectors of the passages of all texts (binary t), however they are dealt out.
+def basis_of(y: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns' space, by their products with each other; y is tall, and copied once at most."""
+    products = np.zeros((y.shape[1], y.shape[1]))
+    for k in range(0, len(y), ROWS):
+        own = y[k : k + ROWS].astype(np.float64)
+        products += own.T @ own
+    values, vectors = np.linalg.eigh(products)
+    real = values > max(1e-10 * values[-1], 1e-30)
+    return y @ (vectors[:, real] / np.sqrt(values[real])).astype(np.float32)
+
+
+def shared_directions(rows: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """FEATURES x COMMON at most: the first right singular vectors of the passages of all rows of featured(), however they are dealt out.
 
     Tasks are few, as what each gives is as large as the space, whatever it has read.
     """
-    spark = texts.sparkSession
+    spark = rows.sparkSession
     width = RANK + OVERSAMPLE
     w = spark.sparkContext.broadcast(weight.astype(np.float32))
-    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, estimate(texts) // SHARE))
 
     def project(batches):
         table = weighted(np.random.default_rng(RANK).standard_normal((FEATURES, width), dtype=np.float32), w.value)
         total = np.zeros((FEATURES, width), dtype=np.float32)
-        for b in bounded(batches, "t"):
-            for grid in steps(b.column("t").to_pylist()):
+        for b in bounded(batches, "f"):
+            for grid in steps(b.column("f")):
                 _, x, scale = projected(grid, table)
                 x *= scale[:, None]
                 about = np.zeros((len(grid), width), dtype=np.float32)  # of each block, the sum over its passages
@@ -237,21 +270,23 @@ def shared_directions(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
         total *= w.value[:, None]
         yield _pieces(total)
 
-    q, _ = np.linalg.qr(_dealt(texts.mapInArrow(project, "piece int, data binary"), width, "float32"))
-    basis = spark.sparkContext.broadcast(q.astype(np.float32))
+    few = rows.coalesce(max(spark.sparkContext.defaultParallelism, estimate(rows) // SHARE))
+    q = basis_of(_dealt(few.mapInArrow(project, "piece int, data binary"), width, "float32"))
+    basis, width = spark.sparkContext.broadcast(q), q.shape[1]
 
     def gram(batches):
         table, total = weighted(basis.value, w.value), np.zeros((width, width))
-        for b in bounded(batches, "t"):
-            for grid in steps(b.column("t").to_pylist()):
+        for b in bounded(batches, "f"):
+            for grid in steps(b.column("f")):
                 begins, x, _ = projected(grid, table)
                 x = x[begins]
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["data"])
 
-    corpus = sum((np.frombuffer(r.data).reshape(width, width) for r in texts.mapInArrow(gram, "data binary").collect()), np.zeros((width, width)))
+    corpus = sum((np.frombuffer(r.data).reshape(width, width) for r in few.mapInArrow(gram, "data binary").collect()), np.zeros((width, width)))
+    basis.destroy()
     values, vectors = np.linalg.eigh(corpus)
-    return (q @ vectors[:, ::-1][:, :COMMON][:, values[::-1][:COMMON] > 1e-9]).astype(np.float32)
+    return q @ vectors[:, ::-1][:, :COMMON][:, values[::-1][:COMMON] > 1e-9].astype(np.float32)
 
 
 class Passages:
@@ -360,9 +395,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
-    counts = occurrences(docs)
+    rows = featured(docs.select("t"))
+    counts = occurrences(rows)
     weight = np.log((counts.sum() + 1) / (counts + 1)) + 0.1
-    shared = shared_directions(docs.select("t"), weight)
+    shared = shared_directions(rows, weight)
+    release()
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("trim(text) != ''")
     return search(docs, portions(items), spark.sparkContext.broadcast((weight.astype(np.float32), shared)))
 
@@ -413,7 +450,8 @@ def search(docs: DataFrame, files: list[str], space) -> DataFrame:
             texts = b.column("t").to_pylist()
             grid, first, sizes = blocks(texts)
             flat, words = grid.reshape(-1), Words(texts)
-            rest = {n: np.concatenate([window_sums(base[grid[at : at + STEP + LONG - 1]].sum(axis=1), n)[:STEP] for at in range(0, len(grid), STEP)]) for n in (SHORT, LONG)}
+            alone = np.concatenate([row_sums(base, grid[at : at + STEP]) for at in range(0, len(grid), STEP)])
+            rest = {n: window_sums(alone, n) for n in (SHORT, LONG)}
             found: list[dict] = [{} for _ in texts]
             for path in files:
                 portion = last = last if last and len(files) == 1 else Portion(path, weight, shared)
@@ -422,7 +460,7 @@ def search(docs: DataFrame, files: list[str], space) -> DataFrame:
                     for at in range(0, len(grid), STEP):
                         other = rest[n][at : at + STEP]
                         near = window_sums(compared.sums(grid[at : at + STEP + LONG - 1]), n)[:STEP] - other[:, :-1] @ compared.common
-                        row, col = np.nonzero(near >= NEAR * np.sqrt(np.maximum(other[:, -1:], 1e-9)))
+                        row, col = np.divmod(np.flatnonzero(near >= NEAR * np.sqrt(np.maximum(other[:, -1:], 1e-9))), near.shape[1])
                         if len(row):
                             check(portion.items, compared, col, row + at, n, first, sizes, flat, words, hits)
                 for of_all, own in zip(found, hits, strict=True):

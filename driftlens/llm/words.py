@@ -21,11 +21,8 @@ _libc = ctypes.CDLL(None)
 END, START = np.uint64(xxhash.xxh3_64_intdigest(b"\n")), np.uint64(xxhash.xxh3_64_intdigest(b"\t"))
 
 M1, M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Bytes whose words are hashed at once; a longer word is hashed by itself.
-RUN = 1 << 19
-IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
-#: Bytes with A-Z in lower case.
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+#: A word of more bytes is hashed by itself, and bytes whose words are hashed at once where none is longer: they stay in the cache.
+RUN, NEAR = 1 << 19, 1 << 14
 
 
 def _powers(base: int) -> np.ndarray:
@@ -40,11 +37,16 @@ _BASE = int(_random.integers(1, 1 << 63)) * 2 + 1
 _POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """An array of bytes with A-Z in lower case."""
+    return raw + ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of an array of bytes."""
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~IS_SPACE[raw]
-    edges = np.flatnonzero(np.diff(inside))
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)  # uint8 wraps around
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 
 
@@ -53,14 +55,18 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
-        j = int(np.searchsorted(ends, starts[i] + RUN, side="right"))
+        j = int(np.searchsorted(ends, starts[i] + NEAR, side="right"))
+        if j <= i and ends[i] <= starts[i] + RUN:
+            j = i + 1
         if j <= i:  # one word of more than RUN bytes
             out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
             i += 1
             continue
         a, b = int(starts[i]), int(ends[j - 1])
         total = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw[a:b]] * _POWER[: b - a], out=total[1:])
+        terms = _BYTE[raw[a:b]]
+        terms *= _POWER[: b - a]
+        np.cumsum(terms, out=total[1:])
         out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * _INVERSE[starts[i:j] - a]
         i = j
     return mix(out)
@@ -76,7 +82,7 @@ def hashed(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndar
     """Hashes of the words of all texts, A-Z in lower case if asked for, and the number of words of each text."""
     raw, borders = joined(texts)
     if lower:
-        raw = LOWER[raw]
+        raw = lowered(raw)
     starts, ends = spans(raw)
     return hashes(raw, starts, ends), np.diff(np.searchsorted(starts, borders), prepend=0)
 
