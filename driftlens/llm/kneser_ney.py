@@ -8,10 +8,11 @@ contexts and continuations are read back from the keys. Scoring maps the arrays
 Bigrams, contexts and continuations tell words by 32 bits of their hashes: of V distinct words about V * V / 2 ** 33 pairs share
 them (1 in 4,000 words of a vocabulary of a million) and are one word to the model's higher order; n_known and the base score
 use all 64 bits. Wider keys weren't tried: by the sizes of the keys, 16 bytes for a bigram would need an estimated 5.8 times
-the input on disk.
+the input on disk, as runs and counts were before they were packed.
 
 Files of a model: uni (64-bit word hash, count), bi (mixed bigram, count), ctx (context: sum of counts; numbers of words
-seen once, twice, more often after it), con (word: number of different words before it); one of each for each shard.
+seen once, twice, more often after it), con (word: number of different words before it); one of each for each shard. Values
+take a byte each; those of MUCH or more stand in a third file with their places.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from .words import START, bounded, mix, tokens, unmix
 
 RUNS = "shard int, kind string, keys binary, vals binary"
 SUMS = "kind string, entries long, total long, n1 long, n2 long, n3 long, n4 long"
-#: Width in bytes of a key, and type and number of the values beside it.
-KINDS = {"uni": (np.uint64, np.uint32, 1), "bi": (np.uint64, np.uint32, 1), "ctx": (np.uint32, np.int64, 4), "con": (np.uint32, np.int64, 1)}
+#: Type of a key, and number of the values beside it.
+KINDS = {"uni": (np.uint64, 1), "bi": (np.uint64, 1), "ctx": (np.uint32, 4), "con": (np.uint32, 1)}
+#: A value from here on stands beside the others in a model's file.
+MUCH = 255
 HALF = np.uint64(32)
 #: Bytes of input for a shard.
 SHARD = 64 << 20
@@ -66,15 +69,29 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return out
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs, all first bytes, then all second ones: leading zeros cost nothing."""
+    x = x.astype("<u8")
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8")[:, 0]
+
+
 def _runs(kind: str, shards: int, keys: np.ndarray, vals: np.ndarray) -> Iterator[tuple[int, str, bytes, bytes]]:
-    """Sorted keys cut at the shards' borders."""
+    """Sorted keys cut at the shards' borders: the first, then each one's distance to the one before; values a column at a time."""
     bits = keys.dtype.itemsize * 8 - (shards.bit_length() - 1)
     cuts = np.searchsorted(keys, (np.arange(1, shards, dtype=np.uint64) << np.uint64(bits)).astype(keys.dtype))
     edges = [0, *cuts.tolist(), len(keys)]
     for s in range(shards):
         a, b = edges[s], edges[s + 1]
         if a < b:
-            yield s, kind, keys[a:b].tobytes(), np.ascontiguousarray(vals[a:b]).tobytes()
+            yield s, kind, int(keys[a]).to_bytes(8, "little") + _packed(np.diff(keys[a:b], prepend=keys[a])), _packed(vals[a:b].T.reshape(-1))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -100,16 +117,16 @@ def _count(shards: int):
             rows = []
             for kind, keys in (("uni", tok), ("bi", bigrams(tok, counts))):
                 k, c = np.unique(keys, return_counts=True)
-                rows += _runs(kind, shards, k, c.astype(np.uint32))
+                rows += _runs(kind, shards, k, c)
             yield _batch(rows, RUN_SCHEMA)
 
     return count
 
 
 def _merged(kind: str, runs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    key_type, val_type, width = KINDS[kind]
-    keys = np.concatenate([np.frombuffer(k, dtype=key_type) for k, _ in runs])
-    vals = np.concatenate([np.frombuffer(v, dtype=val_type).reshape(-1, width) for _, v in runs]).astype(np.int64)
+    key_type, width = KINDS[kind]
+    keys = np.concatenate([(np.cumsum(_unpacked(k[8:])) + np.uint64(int.from_bytes(k[:8], "little"))).astype(key_type) for k, _ in runs])
+    vals = np.concatenate([_unpacked(v).reshape(width, -1).T for _, v in runs]).astype(np.int64)
     order = np.argsort(keys, kind="stable")  # the runs are sorted, so this merges them
     keys, vals = keys[order], vals[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -139,16 +156,17 @@ def _merge(path: str, shards: int):
                 runs.setdefault((s, kind), []).append((k, v))
         for s, kind in sorted(runs):
             keys, vals = _merged(kind, runs.pop((s, kind)))
-            out_type = np.float64 if kind == "ctx" else np.uint32 if vals.max(initial=0) < 1 << 32 else np.uint64
             atomic_write(f"{path}/{kind}-{s}.k", keys.tobytes())
-            atomic_write(f"{path}/{kind}-{s}.v", vals.astype(out_type).tobytes())
+            atomic_write(f"{path}/{kind}-{s}.v", np.minimum(vals, MUCH).astype(np.uint8).tobytes())
+            much = np.flatnonzero(vals >= MUCH)
+            atomic_write(f"{path}/{kind}-{s}.x", np.stack([much, vals.reshape(-1)[much]]).tobytes())
             counts = vals[:, 0]
             rows = [(s, "sum", json.dumps(_summary(kind, counts)).encode(), b"")]
             if kind == "bi":
                 pair = unmix(keys)
                 rows += _runs("ctx", shards, *_seen((pair >> HALF).astype(np.uint32), counts))
                 after, n = np.unique(pair.astype(np.uint32), return_counts=True)
-                rows += _runs("con", shards, after, n.astype(np.int64))
+                rows += _runs("con", shards, after, n)
             yield _batch(rows, RUN_SCHEMA)
 
     return merge
@@ -179,22 +197,22 @@ class Reader:
     def __init__(self, model: str):
         self.model = m = Model(**json.loads(model))
         self.arrays: dict[str, list] = {}
-        for kind, (key_type, _, width) in KINDS.items():
+        for kind, (key_type, width) in KINDS.items():
             out = []
             for s in range(m.shards):
                 f = f"{m.path}/{kind}-{s}"
                 if os.path.exists(f"{f}.k") and os.path.getsize(f"{f}.k"):
                     k = np.memmap(f"{f}.k", dtype=key_type, mode="r")
-                    wide = os.path.getsize(f"{f}.v") // (len(k) * width) == 8
-                    v = np.memmap(f"{f}.v", dtype=np.float64 if kind == "ctx" else np.uint64 if wide else np.uint32, mode="r")
-                    out.append((k, v.reshape(-1, width)))
+                    v = np.memmap(f"{f}.v", dtype=np.uint8, mode="r").reshape(-1, width)
+                    x = np.memmap(f"{f}.x", dtype=np.int64, mode="r").reshape(2, -1) if os.path.getsize(f"{f}.x") else np.zeros((2, 0), dtype=np.int64)
+                    out.append((k, v, x))
                 else:
                     out.append(None)
             self.arrays[kind] = out
 
     def find(self, kind: str, keys: np.ndarray) -> np.ndarray:
         """Values of ascending keys; zeros for those that the model lacks."""
-        key_type, _, width = KINDS[kind]
+        key_type, width = KINDS[kind]
         out = np.zeros((len(keys), width), dtype=np.float64)
         bits = key_type().itemsize * 8 - (self.model.shards.bit_length() - 1)
         cuts = np.searchsorted(keys, (np.arange(1, self.model.shards, dtype=np.uint64) << np.uint64(bits)).astype(key_type))
@@ -205,7 +223,11 @@ class Reader:
                 at = np.searchsorted(own[0], keys[a:b])
                 at[at == len(own[0])] = 0
                 hit = own[0][at] == keys[a:b]
-                out[a:b][hit] = own[1][at[hit]]
+                at = at[hit]
+                got = own[1][at].astype(np.float64)
+                row, col = np.nonzero(got == MUCH)
+                got[row, col] = own[2][1, np.searchsorted(own[2][0], at[row] * width + col)]
+                out[a:b][hit] = got
         return out
 
     def score(self, tok: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
