@@ -11,9 +11,12 @@ import zipfile
 from pathlib import Path
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import release
+
 #: Rows of a batch handed to Python. Texts reach several megabytes, so batches are short.
 BATCH_ROWS = 1000
 
@@ -71,10 +74,27 @@ def remove(path: str) -> None:
         shutil.rmtree(u.path, ignore_errors=True)
 
 
+def spare(spark: SparkSession) -> str:
+    """Returns memory that the driver has freed to the system: what its JVM says of it, empty if that JVM can't.
+
+    Compiling plans leaves hundreds of MB in malloc's arenas of the JVM's many threads, beside its heap.
+    """
+    release()
+    java, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:  # py4j sees no methods of the server's own class, which isn't public
+        call = next(m for m in java.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = new(java.java.lang.Object, 4)
+        args[0], args[1] = java.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return str(call.invoke(java.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args))
+    except Py4JError:
+        return ""
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: it cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
+    spare(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
