@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import partitions, prepare, table
-from .words import bounded, hashes, joined, ragged, spans, sums
+from .words import bounded, drops, hashes, joined, ragged, spans, sums
 
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of a leaf of a long text, of the first window on either side of a cut, and tokens that must agree.
@@ -267,6 +267,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+drops.append(encoder.cache_clear)
+
+
 def halves(text: str) -> list[str]:
     """The leaves of the tree: 2**k pieces of LEAF characters at most."""
     n = 1
@@ -323,11 +326,11 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         return np.split(ids, np.cumsum(counts)[:-1])
 
     def whole(batches):
-        for b in bounded(batches, "text", SLICE):
+        for b in bounded(batches, "text", SLICE, keep=True):
             yield _result(b.column("doc_id").to_pylist(), [x.tolist() for x in encoded(b)], encoder(path))
 
     def cut(batches):
-        for b in bounded(batches, "text", SLICE):
+        for b in bounded(batches, "text", SLICE, keep=True):
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 leaves = halves(t)
                 key = hashlib.blake2b(t.encode(), digest_size=16).digest()
@@ -335,7 +338,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def leaves(batches):
         enc = encoder(path)
-        for b in bounded(batches, "text", SLICE):
+        for b in bounded(batches, "text", SLICE, keep=True):
             sides = [edge_tokens(enc, t) for t in b.column("text").to_pylist()]
             new = [[x.tobytes() for x in encoded(b)], [h.tobytes() for h, _ in sides], [t.tobytes() for _, t in sides]]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(x, type=pa.binary()) for x in new)], schema=PIECE_SCHEMA)

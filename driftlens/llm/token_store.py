@@ -114,7 +114,7 @@ def write(docs: DataFrame, tokenizer: str | None = None) -> Store:
 
     def stage(batches):
         enc = encoder(token_path)
-        for b in bounded(batches, "text", SLICE):
+        for b in bounded(batches, "text", SLICE, keep=True):
             encoded, counts = enc.encode(b.column("text").cast(pa.binary()).to_pylist())
             ids = np.full(len(encoded) + len(counts), END_ID, dtype=np.uint32)  # END_ID after each document
             ids[np.arange(len(encoded)) + np.repeat(np.arange(len(counts)), counts)] = encoded

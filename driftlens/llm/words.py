@@ -8,7 +8,7 @@ value stands for a random number), read off prefix sums and mixed; two different
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,8 +143,19 @@ def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return total[ends] - total[starts]
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with at most about limit bytes in the column, one row at least; a worker then gives memory back."""
+#: What drops large caches that a worker has from tasks of another operator.
+drops: list[Callable[[], None]] = []
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most about limit bytes in the column, one row at least; a worker then gives memory back.
+
+    Workers outlive their operators: what those have in drops goes first, unless the task is to keep it.
+    """
+    if drops and not keep:
+        for drop in drops:
+            drop()
+        release()
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
